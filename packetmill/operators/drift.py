@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from packetmill.operators import quantiles as qt
 from packetmill.schemas import DRIFT_CLASS, PSI_EPS, PSI_THRESHOLD
+from packetmill.session import materialise
 
 
 def long_numeric(table: DataFrame, columns: list[str]) -> DataFrame:
@@ -71,8 +72,8 @@ def histogram(counts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def numeric_profile(table: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
     """(feature, bin, lo, hi, n, expected) of the baseline sample."""
-    counts = qt.value_counts(long_numeric(table, columns))
-    edges = numeric_edges(counts, bins)
+    counts = materialise(qt.value_counts(long_numeric(table, columns)), "value-counts")
+    edges = materialise(numeric_edges(counts, bins), "edges")
     filled = _grid(edges).join(histogram(counts, edges), ["feature", "bin"], "left").withColumn(
         "n", F.coalesce("n", F.lit(0)))
     whole = Window.partitionBy("feature")

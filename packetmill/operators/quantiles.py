@@ -31,13 +31,14 @@ def _interval():
     return F.when(k == 0, 0).otherwise((k - 1) * _STEP + inner)
 
 
-def quantiles(counts: DataFrame, probs: list[float], intervals: int = 1000) -> DataFrame:
-    """(feature, q, value) for folded counts, linear between neighbouring ranks."""
-    grid = F.array(*[F.lit(i / intervals) for i in range(1, intervals)])
-    # The folded values are weighted by their counts through the distinct values alone:
-    # an uneven cut is harmless, see the module text.
+def values_at_ranks(counts: DataFrame, ranks: DataFrame, intervals: int = 1000) -> DataFrame:
+    """(feature, r, value): the r-th smallest value, from zero, for each wanted rank.
+
+    ``ranks`` holds few rows per feature; ``counts`` should be a written table, as it is
+    read three times.
+    """
+    grid = F.expr("array(" + ",".join(f"{i / intervals}D" for i in range(1, intervals)) + ")")
     splits = counts.groupBy("feature").agg(
-        F.sum("cnt").alias("n"),
         F.array_sort(F.array_distinct(F.percentile_approx("value", grid, F.lit(10 * intervals)))).alias("splits"))
     coarse = F.transform(F.sequence(F.lit(0), F.size("splits") - 1, F.lit(_STEP)), lambda i: F.col("splits")[i])
     splits = splits.withColumn("coarse", coarse)
@@ -46,14 +47,9 @@ def quantiles(counts: DataFrame, probs: list[float], intervals: int = 1000) -> D
     before = Window.partitionBy("feature").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = placed.groupBy("feature", "slot").agg(F.sum("cnt").alias("slot_n")).withColumn(
         "carry", F.coalesce(F.sum("slot_n").over(before), F.lit(0)))
-
-    wanted = splits.select("feature", "n", F.explode(F.array(*map(F.lit, probs))).alias("q")).withColumn(
-        "rank", F.col("q") * (F.col("n") - 1))
-    low = F.floor("rank").cast("long")
-    ranks = wanted.select("feature", F.explode(F.array(low, F.least(low + 1, F.col("n") - 1))).alias("r")).distinct()
-    # At most two ranks per probability and ``intervals`` slots per feature meet here.
+    # The wanted ranks and at most ``intervals`` slots per feature meet here.
     needed = (
-        slots.join(ranks, "feature")
+        slots.join(ranks.select("feature", "r").distinct(), "feature")
         .where((F.col("r") >= F.col("carry")) & (F.col("r") < F.col("carry") + F.col("slot_n")))
         .groupBy("feature", "slot", "carry").agg(F.collect_set("r").alias("rs"))
     )
@@ -61,14 +57,23 @@ def quantiles(counts: DataFrame, probs: list[float], intervals: int = 1000) -> D
     walked = placed.join(F.broadcast(needed), ["feature", "slot"]).withColumn(
         "end", F.col("carry") + F.sum("cnt").over(upto))
     hit = F.filter("rs", lambda r: (r >= F.col("end") - F.col("cnt")) & (r < F.col("end")))
-    at_rank = walked.select("feature", "value", F.explode(hit).alias("r"))
+    return walked.select("feature", "value", F.explode(hit).alias("r"))
 
-    a = at_rank.select("feature", F.col("r").alias("lo"), F.col("value").alias("a"))
-    b = at_rank.select("feature", F.col("r").alias("hi"), F.col("value").alias("b"))
-    both = (
-        wanted.withColumn("lo", low).withColumn("hi", F.least(low + 1, F.col("n") - 1))
-        .join(a, ["feature", "lo"]).join(b, ["feature", "hi"])
-    )
-    t, gap = F.col("rank") - F.col("lo"), F.col("b") - F.col("a")
+
+def quantiles(counts: DataFrame, probs: list[float], intervals: int = 1000) -> DataFrame:
+    """(feature, q, value) for folded counts, linear between neighbouring ranks."""
+    totals = counts.groupBy("feature").agg(F.sum("cnt").alias("n"))
+    q = F.explode(F.array(*map(F.lit, probs))).alias("q")
+    low = F.floor("rank").cast("long")
+    wanted = totals.select("feature", "n", q).withColumn("rank", F.col("q") * (F.col("n") - 1)).select(
+        "feature", "q", "rank", low.alias("lo"), F.least(low + 1, F.col("n") - 1).alias("hi"))
+    ranks = wanted.select("feature", F.explode(F.array("lo", "hi")).alias("r"))
+    found = values_at_ranks(counts, ranks, intervals)
+
+    ends = wanted.select("feature", "q", "rank", F.posexplode(F.array("lo", "hi")).alias("side", "r"))
+    pairs = ends.join(found, ["feature", "r"]).groupBy("feature", "q", "rank").agg(
+        F.max(F.when(F.col("side") == 0, F.col("value"))).alias("a"),
+        F.max(F.when(F.col("side") == 1, F.col("value"))).alias("b"))
+    t, gap = F.col("rank") - F.floor("rank"), F.col("b") - F.col("a")
     value = F.when(t >= 0.5, F.col("b") - gap * (1 - t)).otherwise(F.col("a") + gap * t)
-    return both.select("feature", "q", value.alias("value"))
+    return pairs.select("feature", "q", value.alias("value"))
