@@ -224,7 +224,15 @@ def assemble(packets: DataFrame, clock: str = "event_time",
 
 
 def _finish(flows: DataFrame) -> DataFrame:
-    """Orient each flow by its first packet and name its columns."""
+    tail = _head_tail(F.col("head"), F.col("start_us"))
+    return orient(flows.withColumn("first_seq", F.shiftright(tail, 1)).withColumn("ahead", tail % 2 == 1))
+
+
+def orient(flows: DataFrame) -> DataFrame:
+    """Turn the two sides of a connection into source and destination.
+
+    ``ahead`` tells whether the first packet came from the first endpoint of the key.
+    """
     parts = F.split(F.col(_KEY), r"\|")
 
     def endpoint(i):
@@ -232,15 +240,13 @@ def _finish(flows: DataFrame) -> DataFrame:
         return parts[i].substr(F.lit(1), F.length(parts[i]) - F.length(port) - 1), port.cast("int")
 
     (a_ip, a_port), (b_ip, b_port) = endpoint(0), endpoint(1)
-    tail = _head_tail(F.col("head"), F.col("start_us"))
-    flows = flows.withColumn("first_seq", F.shiftright(tail, 1)).withColumn("ahead", tail % 2 == 1)
     ahead = F.col("ahead")
 
     def side(x, y):
         return F.when(ahead, x).otherwise(y)
 
     return flows.select(
-        _KEY, "flow_no", "first_seq",
+        _KEY, "first_seq",
         side(a_ip, b_ip).alias("src_ip"), side(b_ip, a_ip).alias("dst_ip"),
         side(a_port, b_port).alias("src_port"), side(b_port, a_port).alias("dst_port"),
         parts[2].alias("protocol"),

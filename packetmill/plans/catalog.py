@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import wraps
 
-from packetmill.plans import alert_queries, data_queries, flow_queries, model_queries
+from packetmill.plans import alert_queries, data_queries, flow_queries, model_queries, stream_queries
 from packetmill.session import prepare
 
-_MODULES = [flow_queries, alert_queries, data_queries, model_queries]
+_MODULES = [flow_queries, alert_queries, data_queries, model_queries, stream_queries]
 
 
 def _prepared(fn):

@@ -11,7 +11,7 @@ from packetmill.operators import metrics as mx
 from packetmill.operators import reports as rp
 from packetmill.plans import alert_queries as aq
 from packetmill.plans import data_queries as dq
-from packetmill.session import scratch_path
+from packetmill.session import materialise, scratch_path
 from packetmill.sources import adapters as A
 from packetmill.sources import datasets, sinks
 
@@ -121,7 +121,7 @@ def _prepared(spark, sf):
     split = ft.stratified_split(rows, "flow_id", "target")
     model = ft.preprocessor(NUM, CAT, rows.count()).fit(rows)
     ready = ft.label_indexer().fit(rows).transform(model.transform(split))
-    return ready.select("flow_id", "target", "label_ix", "is_test", "features")
+    return materialise(ready.select("flow_id", "target", "label_ix", "is_test", "features"), "prepared")
 
 
 def vote(spark, sf):
