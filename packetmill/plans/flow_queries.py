@@ -195,7 +195,25 @@ def arrival_flows(spark, sf):
         "conn_key", "start_us", "first_seq", "last_us", "packets", "emit_us", "is_flush")
 
 
-_RATE = "{p} / greatest(1, {w})"
+_ARRIVAL = _KEYED + """,
+gl as (select *, lag(ts_us) over (order by ts_us, seq) as gp from k),
+ow as (select *, lag(ts_us) over w as prev_us from gl window w as (partition by conn_key order by ts_us, seq)),
+se as (select *, sum(case when prev_us is null or gp >= prev_us + 30000000 then 1 else 0 end)
+   over (partition by conn_key order by ts_us, seq) as sess from ow),
+s as (select *, row_number() over (partition by conn_key, sess order by ts_us, seq) as rn from se),
+st(conn_key, sess, start_us, rn, first_seq) as (
+  select conn_key, sess, ts_us, rn, seq from s where rn = 1
+  union all
+  select n.conn_key, n.sess, n.ts_us, n.rn, n.seq from
+   (select st.conn_key, st.sess, st.start_us, min(s.rn) as p_rn, arg_min(s.gp, s.rn) as gp from st join s
+     on s.conn_key = st.conn_key and s.sess = st.sess and s.rn > st.rn and s.ts_us >= st.start_us + 120000000
+    group by 1, 2, 3) q
+   join s n on n.conn_key = q.conn_key and n.sess = q.sess
+    and n.rn = q.p_rn + case when q.gp >= q.start_us + 120000000 then 0 else 1 end),
+f as (select s.conn_key, s.ts_us, st.start_us, st.first_seq from s asof join st
+   on s.conn_key = st.conn_key and s.sess = st.sess and s.rn >= st.rn),
+fl as (select conn_key, start_us, first_seq, max(ts_us) as last_us, count(*) as packets,
+   least(max(ts_us) + 30000000, start_us + 120000000) as due from f group by 1, 2, 3)"""
 
 QUERIES = {
     "s01_packet_source": (packet_table, _PK),
@@ -250,6 +268,9 @@ QUERIES = {
           he / hn as dst_host_serror_rate, hse / greatest(1, hsn) as dst_host_srv_serror_rate,
           hr / hn as dst_host_rerror_rate, hsr / greatest(1, hsn) as dst_host_srv_rerror_rate
         from ids i join win w on i.conn_key = w.conn_key and i.start_us = w.start_us""", True)),
+    "w02_arrival_clock": (arrival_flows, _with(_ARRIVAL, """
+        select conn_key, start_us, first_seq, last_us, packets, coalesce(nx, last_us) as emit_us, nx is null as is_flush
+        from (select *, (select min(p.ts_us) from pk p where p.ts_us >= fl.due) as nx from fl)""", True)),
     "w09_previous_packet": (previous_packets, _with(_KEYED, """
         select seq, ts_us, lag(ts_us) over (order by ts_us, seq) as prev_global_us from pk""")),
     "j11_next_packet": (next_packets, _with(_FLOWS, """
