@@ -11,10 +11,14 @@ The sketch decides how evenly the work is cut, never the result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEP = 32
+# One interval is sorted by one task; it should hold about this many distinct values.
+_PER_INTERVAL = 1_000_000
+_MAX_INTERVALS = 4000
 
 
 def value_counts(values: DataFrame) -> DataFrame:
@@ -23,26 +27,29 @@ def value_counts(values: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"))
 
 
-def _interval():
+def _interval(step: int):
     """Number of splitters at or below the value, by a coarse and a fine search."""
     k = F.size(F.filter("coarse", lambda s: s <= F.col("value")))
-    fine = F.slice("splits", (F.greatest(k, F.lit(1)) - 1) * _STEP + 1, F.lit(_STEP))
+    fine = F.slice("splits", (F.greatest(k, F.lit(1)) - 1) * step + 1, F.lit(step))
     inner = F.size(F.filter(fine, lambda s: s <= F.col("value")))
-    return F.when(k == 0, 0).otherwise((k - 1) * _STEP + inner)
+    return F.when(k == 0, 0).otherwise((k - 1) * step + inner)
 
 
-def values_at_ranks(counts: DataFrame, ranks: DataFrame, intervals: int = 1000) -> DataFrame:
+def values_at_ranks(counts: DataFrame, ranks: DataFrame, intervals: int | None = None) -> DataFrame:
     """(feature, r, value): the r-th smallest value, from zero, for each wanted rank.
 
     ``ranks`` holds few rows per feature; ``counts`` should be a written table, as it is
-    read three times.
+    read three times and counted to choose the number of intervals.
     """
+    if intervals is None:
+        intervals = min(_MAX_INTERVALS, max(16, counts.count() // _PER_INTERVAL))
+    step = math.isqrt(intervals - 1) + 1
     grid = F.expr("array(" + ",".join(f"{i / intervals}D" for i in range(1, intervals)) + ")")
     splits = counts.groupBy("feature").agg(
         F.array_sort(F.array_distinct(F.percentile_approx("value", grid, F.lit(10 * intervals)))).alias("splits"))
-    coarse = F.transform(F.sequence(F.lit(0), F.size("splits") - 1, F.lit(_STEP)), lambda i: F.col("splits")[i])
+    coarse = F.transform(F.sequence(F.lit(0), F.size("splits") - 1, F.lit(step)), lambda i: F.col("splits")[i])
     splits = splits.withColumn("coarse", coarse)
-    placed = counts.join(F.broadcast(splits), "feature").select("feature", "value", "cnt", _interval().alias("slot"))
+    placed = counts.join(F.broadcast(splits), "feature").select("feature", "value", "cnt", _interval(step).alias("slot"))
 
     before = Window.partitionBy("feature").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     slots = placed.groupBy("feature", "slot").agg(F.sum("cnt").alias("slot_n")).withColumn(
@@ -60,7 +67,7 @@ def values_at_ranks(counts: DataFrame, ranks: DataFrame, intervals: int = 1000)
     return walked.select("feature", "value", F.explode(hit).alias("r"))
 
 
-def quantiles(counts: DataFrame, probs: list[float], intervals: int = 1000) -> DataFrame:
+def quantiles(counts: DataFrame, probs: list[float], intervals: int | None = None) -> DataFrame:
     """(feature, q, value) for folded counts, linear between neighbouring ranks."""
     totals = counts.groupBy("feature").agg(F.sum("cnt").alias("n"))
     q = F.explode(F.array(*map(F.lit, probs))).alias("q")
