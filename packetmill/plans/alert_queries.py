@@ -82,6 +82,7 @@ exp as (select ex.src_ip, ex.epoch, cast(held.held_rule as bigint) as rule_numbe
 
 
 def _q(blocks, tail):
+    """Named blocks and a final select; a tail that starts with a comma adds blocks."""
     return f"with {blocks.strip()}\n{tail.strip()}"
 
 
@@ -218,6 +219,12 @@ def state_counts(spark, sf):
     return rp.counts_by(_dispatched(spark, sf), "severity", "attack_type", "mitigation_status", "is_synthetic")
 
 
+def status_totals(spark, sf):
+    return _dispatched(spark, sf).groupBy("mitigation_status").agg(
+        F.count(F.lit(1)).alias("n"), F.count("mitigated_at").alias("dated"),
+        F.count("mitigation_details.rule_number").alias("ruled"))
+
+
 def threat_stream(spark, sf):
     return rp.threat_stream(_dispatched(spark, sf))
 
@@ -266,6 +273,12 @@ def dispatch(spark, sf):
     return _decisions(spark, sf).drop("alert_ts")
 
 
+def responses(spark, sf):
+    """The reply per alert as JSON text, as a scalar function would give it."""
+    reply = F.to_json(F.struct("alert_id", "attack_type", "status", "src_ip", "reason", "rule_number"))
+    return _decisions(spark, sf).select("alert_id", reply.alias("response"))
+
+
 def write_back(spark, sf):
     return _flat(_dispatched(spark, sf))
 
@@ -442,8 +455,8 @@ QUERIES = {
     "a05_hourly_timeline": (timeline, _q(_SC, f"""
         select date_trunc('hour', alert_ts) as hour_bucket, attack_type as classification, count(*) as count
         from al where not is_synthetic and alert_ts >= timestamp '{AS_OF}' - interval 72 hour group by 1, 2""")),
-    "a06_active_blocks": (active_blocks, _q(_PLAN + ",", f"""
-        b as (select src_ip, min(alert_ts) as first_alert_ts, max(alert_ts) as mitigated_at, count(*) as alert_count,
+    "a06_active_blocks": (active_blocks, _q(_PLAN, f"""
+        , b as (select src_ip, min(alert_ts) as first_alert_ts, max(alert_ts) as mitigated_at, count(*) as alert_count,
           max(alert_ts) + interval 24 hour as expires_at,
           epoch_us(date_trunc('second', max(alert_ts) + interval 24 hour)) // 1000000 - {NOW_EPOCH} as ttl_seconds
          from ast where mitigation_status = 'ACTIONED' and not is_synthetic group by 1)
@@ -463,8 +476,12 @@ QUERIES = {
         select flow_id, mitigation_status, 1 as step from ast""")),
     "m01_dispatch_plan": (dispatch, _q(_PLAN, """
         select alert_id, src_ip, attack_type, confidence, status, reason, rule_number, ttl_epoch from dec""")),
-    "m02_status_write_back": (state_counts, _q(_PLAN, """
-        select severity, attack_type, mitigation_status, is_synthetic, count(*) as n from ast group by all""")),
+    "d01_mitigation_response": (responses, _q(_PLAN, """
+        select alert_id, '{"alert_id":"' || alert_id || '","attack_type":"' || attack_type || '","status":"' || status
+          || '","src_ip":"' || src_ip || '"' || coalesce(',"reason":"' || reason || '"', '')
+          || coalesce(',"rule_number":' || rule_number, '') || '}' as response from dec""")),
+    "m02_status_write_back": (status_totals, _q(_PLAN, """
+        select mitigation_status, count(*) as n, count(mitigated_at) as dated, count(rule_number) as ruled from ast group by 1""")),
     "m03_block_ledger": (block_ledger, _q(_PLAN, f"""
         select md5(alert_id || '|' || src_ip) as rule_id, src_ip, alert_id, attack_type, confidence, status, ttl_epoch,
           rule_number, timestamp '{AS_OF}' as created_at from dec where status = 'ACTIONED'""")),

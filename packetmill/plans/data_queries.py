@@ -88,6 +88,7 @@ psi as (select feature, sum((a - e) * ln(a / e)) as psi from pn group by feature
 
 
 def _q(blocks, tail):
+    """Named blocks and a final select; a tail that starts with a comma adds blocks."""
     return f"with {blocks.strip()}\n{tail.strip()}"
 
 
@@ -228,6 +229,10 @@ def feature_psi(spark, sf, overflow_bins=False):
         "feature", F.round("psi", 6).alias("psi"))
 
 
+def psi_with_overflow(spark, sf):
+    return feature_psi(spark, sf, overflow_bins=True)
+
+
 def _report(spark, sf):
     _, live = _split(spark, sf)
     scores = dr.feature_psi(live, materialise(_baseline(spark, sf), "baseline"), NUM, CAT, overflow_bins=False)
@@ -283,6 +288,19 @@ def perturbed(spark, sf):
     return dr.perturb(rows, 0.3)
 
 
+# The same PSI with one more bin on either side of the baseline range.
+_OVERFLOW = """,
+rg as (select feature, min(lo) as lo, max(hi) as hi from bins group by 1),
+oc as (select feature, expected, live_n as n from np
+  union all select r.feature, 1e-4, (select count(*) from nv v where v.feature = r.feature and not v.is_baseline and v.value < r.lo) from rg r
+  union all select r.feature, 1e-4, (select count(*) from nv v where v.feature = r.feature and not v.is_baseline and v.value > r.hi) from rg r),
+oa as (select feature, expected, (n + 1e-4) / (sum(n) over w + 1e-4 * count(*) over w) as actual from oc window w as (partition by feature)),
+oe as (select feature, expected as e, actual as a from oa
+  union all select feature, expected, actual from cp
+  union all select feature, 1e-4, sum(actual) from cs where n = 0 and live_n > 0 group by feature),
+om as (select feature, case when e <= 0 then 1e-4 else e end as e, case when a <= 0 then 1e-4 else a end as a from oe),
+on2 as (select feature, e / sum(e) over w as e, a / sum(a) over w as a from om window w as (partition by feature))"""
+
 _HOURLY = """
 tot as (select event_type as category, count(*) / sum(count(*)) over () as share from events group by 1),
 bl as (select category, (share + 1e-4) / (sum(share) over () + 1e-4 * count(*) over ()) as e from tot),
@@ -330,7 +348,7 @@ QUERIES = {
         select feature, category as slot, round(expected, 9) as expected, round(actual, 9) as actual from cp
         union all select feature, null, 1e-4, round(sum(actual), 9) from cs where n = 0 and live_n > 0 group by 1""")),
     "a14_feature_psi": (feature_psi, _q(_DRIFT, "select feature, round(psi, 6) as psi from psi")),
-    "d05_psi_with_overflow": (lambda spark, sf: feature_psi(spark, sf, True), None),
+    "d05_psi_with_overflow": (psi_with_overflow, _q(_DRIFT + _OVERFLOW, "select feature, round(sum((a - e) * ln(a / e)), 6) as psi from on2 group by 1")),
     "a15_drift_report": (drift_report, _q(_DRIFT, f"""
         select timestamp '{CHECK_TS}' as check_ts,
           (select min(o_orderdate) from orders where o_orderdate >= timestamp '1997-01-01') as window_start,
@@ -347,8 +365,8 @@ QUERIES = {
           'HIGH' as severity, false as is_zero_day_suspect, false as is_synthetic, 'PENDING' as mitigation_status"""),
     "o02_latest_drift": (latest_drift, _q(_HOURLY, "select hour, psi from hp order by hour desc limit 20")),
     "t06_hourly_drift": (hourly_drift, _q(_HOURLY, "select hour, psi from hp")),
-    "p23_perturbation": (perturbed, _q(f"pk as ({A.duck(A.PACKETS)}),", """
-        h as (select seq as flow_id, protocol, case when dst_port = 80 then 'http' else 'other' end as svc,
+    "p23_perturbation": (perturbed, _q(f"pk as ({A.duck(A.PACKETS)})", """
+        , h as (select seq as flow_id, protocol, case when dst_port = 80 then 'http' else 'other' end as svc,
            cast('0x' || substr(md5(cast(seq as varchar)), 1, 8) as bigint) % 1000000 < 300000 as hit from pk)
         select flow_id, case when hit and protocol = 'tcp' then 'icmp' else protocol end as protocol_type,
           case when hit and svc = 'http' then 'private' else svc end as service from h""")),

@@ -100,6 +100,20 @@ def split_sizes(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count_if("is_test").alias("n_test"))
 
 
+def split_members(spark, sf):
+    rows = datasets.with_attack_category(A.labelled(spark, sf)).select("event_id", "attack_category")
+    return ft.stratified_split(rows, "event_id", "attack_category").select("event_id", "is_test")
+
+
+def vectorised_scoring(spark, sf):
+    """The class probabilities of every flow sum to one."""
+    ready = _prepared(spark, sf)
+    tiny = ensemble.EnsembleParams(boosted_trees=1, boosted_depth=2, forest_trees=4, forest_depth=4)
+    voted = ensemble.fit(ready, tiny).transform(ready)
+    total = F.aggregate("probability_vote", F.lit(0.0), lambda a, v: a + v)
+    return voted.select("flow_id", F.round(total, 9).alias("total"))
+
+
 def one_hot(spark, sf):
     rows = labelled_flows(spark, sf)
     model = ft.preprocessor(NUM, CAT, rows.count()).fit(rows)
@@ -244,6 +258,7 @@ _CORR = _LN + ", cr as (" + " union all ".join(
 
 
 def _q(blocks, tail):
+    """Named blocks and a final select; a tail that starts with a comma adds blocks."""
     return f"with {blocks.strip()}\n{tail.strip()}"
 
 
@@ -269,7 +284,11 @@ QUERIES = {
     "a16_correlation_pairs": (correlation_pairs, _q(_CORR, "select a, b, round(abs_r, 6) as abs_r from cr")),
     "a16_correlated_columns": (correlated_columns, _q(_CORR, """
         select b as "column", count(*) as earlier from cr where abs_r > 0.95 group by 1""")),
-    "l01_one_hot": (one_hot, None),
+    "l01_one_hot": (one_hot, _q(f"pk as ({A.duck(A.PACKETS)})", """
+        select seq as flow_id, cast(4 + (select count(distinct protocol) from pk) + (select count(distinct dst_port = 80) from pk)
+          + (select count(distinct case when flags = '' then 'SF' else flags end) from pk) as int) as width,
+          case when (select count(distinct dst_port = 80) from pk) = 1 then '1'
+            when dst_port = 80 then '10' else '01' end as service from pk""")),
     "l02_standard_scaling": (scaled, _q(_LN, "select l_orderkey, l_linenumber, " + ", ".join(
         f"round(({c} - avg({c}) over ()) / case when stddev_pop({c}) over () = 0 then 1 else stddev_pop({c}) over () end, 6) as {c}"
         for c in [*LINE, "constant"]) + " from ln")),
@@ -281,12 +300,18 @@ QUERIES = {
           when 'R2L' then 3 else 4 end as int) as code, attack_category as class from lm""")),
     "l05_split_sizes": (split_sizes, _q(dq._LABELS, """
         select attack_category, count(*) as n, cast(floor(count(*) * 0.2 + 0.5) as bigint) as n_test from lm group by 1""")),
+    "l05_split_members": (split_members, _q(dq._LABELS, """
+        , r as (select event_id, row_number() over (partition by attack_category order by
+            cast('0x' || substr(md5(event_id || '|42'), 1, 13) as bigint), event_id) as place,
+           count(*) over (partition by attack_category) as n from lm)
+        select event_id, place <= floor(n * 0.2 + 0.5) as is_test from r""")),
     "l06_soft_vote": (vote, None),
     "l07_isolation_forest": (anomaly_scores, None),
     "l08_batch_scoring": (scored, None),
     "l09_legacy_classify": (legacy, None),
     "l10_model_comparison": (comparison, None),
     "l11_training_run": (training_run, None),
+    "d04_vectorised_scoring": (vectorised_scoring, "select event_id as flow_id, 1.0::double as total from events"),
     "o04_feature_importance": (importances, None),
     "o05_mutual_information": (mutual_information, _MI),
     "o06_best_model": (best, None),
