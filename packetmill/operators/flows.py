@@ -132,7 +132,7 @@ def _active_starts(seg: DataFrame, pk: DataFrame, arrival: bool, active: int) ->
     candidates of a session near (number of starts)^2 whatever its packet rate.
     """
     inner = F.when(F.col("opens"), F.lit(0)).otherwise(F.col("gap_us")).alias("gap_in")
-    slices = seg.where("is_long").select(_KEY, "session", "slice", "begin_us", inner)
+    slices = seg.where("is_long").select(_KEY, "session", "slice", "begin_us", "opens", inner)
 
     points = pk.select(_KEY, "slice", "ts_us", "seq").join(slices, [_KEY, "slice"])
     in_slice = Window.partitionBy(_KEY, "slice").orderBy("ts_us", "seq")
@@ -146,28 +146,29 @@ def _active_starts(seg: DataFrame, pk: DataFrame, arrival: bool, active: int) ->
     candidates = (
         points.join(slack, [_KEY, "slice"])
         .where(F.pmod(F.col("ts_us") - F.col("begin_us"), F.lit(active)) <= F.col("slack"))
-        .select(_KEY, "session", "ts_us", "seq")
+        .select(_KEY, "session", "slice", "opens", "ts_us", "seq")
     )
     if arrival:
         candidates = timeline_ops.previous_packet_time(candidates, pk)
     else:
         candidates = candidates.withColumn("prev_global_us", F.lit(None).cast("long"))
 
-    ordered = F.array_sort(F.collect_list(F.struct("ts_us", "seq", "prev_global_us")))
+    ordered = F.array_sort(F.collect_list(F.struct("ts_us", "seq", "prev_global_us", "slice", "opens")))
     found = candidates.groupBy(_KEY, "session").agg(ordered.alias("c")).select(
-        _KEY, "session", F.explode(_fold_starts(F.col("c"), arrival, active)).alias("s"))
-    return found.select(_KEY, F.col("s.ts_us").alias("split_us"), F.col("s.seq").alias("split_seq"))
+        _KEY, F.explode(_fold_starts(F.col("c"), arrival, active)).alias("s"))
+    return found.select(_KEY, "s.slice", "s.opens", F.col("s.ts_us").alias("split_us"),
+                        F.col("s.seq").alias("split_seq"))
 
 
 def _fold_starts(points, arrival: bool, active: int):
     """Starts after the first: fold sorted points with state (start, due, starts)."""
-    start_type = "array<struct<ts_us:bigint,seq:bigint>>"
+    start_type = "array<struct<ts_us:bigint,seq:bigint,slice:bigint,opens:boolean>>"
     zero = F.struct(
         points[0]["ts_us"].alias("start"), F.lit(False).alias("closed"),
         F.array().cast(start_type).alias("out"))
 
     def step(acc, p):
-        here = F.array(F.struct(p["ts_us"].alias("ts_us"), p["seq"].alias("seq")))
+        here = F.array(F.struct(*[p[c].alias(c) for c in ("ts_us", "seq", "slice", "opens")]))
         due = p["ts_us"] >= acc["start"] + F.lit(active)
         if arrival:
             # The flow takes its own first overdue packet along unless another packet
@@ -198,12 +199,8 @@ def assemble(packets: DataFrame, clock: str = "event_time",
     pk = keyed(packets, idle)
     seg = _with_session(_idle_sessions(_segments(pk), pk, arrival, idle), active)
     seg = materialise(seg, "segments")
-    starts = _active_starts(seg, pk, arrival, active)
-    in_slice = slot(F.col("split_us"), idle)
     # Starts are at least ``active`` apart and a slice is shorter: one split per slice.
-    splits = materialise(
-        starts.withColumn("slice", in_slice).join(seg.select(_KEY, "slice", "opens"), [_KEY, "slice"]),
-        "splits")
+    splits = materialise(_active_starts(seg, pk, arrival, active), "splits")
 
     whole = seg.join(splits, [_KEY, "slice"], "left_anti").select("opens", _KEY, *_PIECE)
     tail = (F.col("ts_us") > F.col("split_us")) | (
