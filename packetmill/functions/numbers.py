@@ -10,6 +10,3 @@ def slot(value: Column, width: int) -> Column:
     """Number of the ``width``-wide slot a whole number falls into (floor, exact)."""
     return ((value - F.pmod(value, F.lit(width))) / F.lit(width)).cast("long")
 
-
-def safe_ratio(part: Column, whole: Column) -> Column:
-    return part / F.greatest(F.lit(1), whole)

@@ -6,7 +6,7 @@ copy of the rows in the last window of the bucket before it. A destination under
 thereby spread over as many tasks as it has buckets, in a single shuffle.
 
 Inside a group no frame is ever summed anew: a trailing count is the running count up to
-the row minus the running count up to two seconds earlier. Both frames start unbounded,
+the row minus the running count of what has left the frame. Both of these start unbounded,
 which Spark evaluates in one forward pass, so a crowded window costs the same per row as
 an empty one.
 """
@@ -21,7 +21,6 @@ from packetmill.functions.numbers import slot
 from packetmill.schemas import CONN_WINDOW_US, HOST_WINDOW_ROWS
 
 BUCKET_US = 10_000_000
-_INPUT = ["emit_us", "first_seq", "dst_ip", "service", "src_ip", "src_port", "syn_error", "rst"]
 
 
 def with_halo(flows: DataFrame, bucket_us: int = BUCKET_US, window_us: int = CONN_WINDOW_US) -> DataFrame:
@@ -33,10 +32,6 @@ def with_halo(flows: DataFrame, bucket_us: int = BUCKET_US, window_us: int = CON
     ).withColumn("is_halo", F.col("bucket") != F.col("_own")).drop("_own")
 
 
-def _ratio(part: Column, whole: Column) -> Column:
-    return part / F.greatest(F.lit(1), whole)
-
-
 def connection_windows(flows: DataFrame, bucket_us: int = BUCKET_US,
                        window_us: int = CONN_WINDOW_US, host_rows: int = HOST_WINDOW_ROWS,
                        digits: int | None = 6) -> DataFrame:
@@ -46,74 +41,70 @@ def connection_windows(flows: DataFrame, bucket_us: int = BUCKET_US,
     only in the order of ``first_seq``, as they were emitted one after another.
     """
     rows = with_halo(flows, bucket_us, window_us)
-    syn, rst = F.col("syn_error").cast("int"), F.col("rst").cast("int")
+    one, syn, rst = F.lit(1), F.col("syn_error").cast("int"), F.col("rst").cast("int")
+    start = Window.unboundedPreceding
 
-    host = Window.partitionBy("dst_ip", "bucket")
-    service = Window.partitionBy("dst_ip", "bucket", "service")
+    def group(*keys):
+        return Window.partitionBy("dst_ip", "bucket", *keys)
 
-    def trailing(group, value):
-        upto = group.orderBy("emit_us", "first_seq").rowsBetween(Window.unboundedPreceding, 0)
-        gone = group.orderBy("emit_us").rangeBetween(Window.unboundedPreceding, -window_us - 1)
+    def running(window, value, gone):
+        """Sum up to the row minus the sum over the rows that left the frame."""
+        upto = window.rowsBetween(start, 0)
         return F.sum(value).over(upto) - F.coalesce(F.sum(value).over(gone), F.lit(0))
 
-    one = F.lit(1)
-    rows = rows.withColumns({
-        "_n": trailing(host, one), "_syn": trailing(host, syn), "_rst": trailing(host, rst),
-        "_recent": F.collect_list(F.struct(
-            "emit_us", "service", "src_ip", "src_port", "syn_error", "rst",
-        )).over(host.orderBy("emit_us", "first_seq").rowsBetween(1 - host_rows, 0)),
-    }).withColumns({
-        "_sn": trailing(service, one), "_ssyn": trailing(service, syn), "_srst": trailing(service, rst),
-    }).where(~F.col("is_halo"))
-
-    # The last ``host_rows`` connections that are also inside the window.
-    recent = F.filter("_recent", lambda w: w["emit_us"] >= F.col("emit_us") - window_us)
-    rows = rows.withColumn("_host", _host_counts(recent))
-    h = {k: F.col(f"_host.{k}") for k in ("n", "sn", "port", "other", "syn", "ssyn", "rst", "srst")}
-
-    def rate(value: Column) -> Column:
-        return value if digits is None else F.bround(value, digits)
-
-    same = _ratio(F.col("_sn"), F.col("_n"))
-    host_same = _ratio(h["sn"], h["n"])
+    def in_time(keys, value):
+        ordered = group(*keys).orderBy("emit_us", "first_seq")
+        return running(ordered, value, group(*keys).orderBy("emit_us").rangeBetween(start, -window_us - 1))
+
+    def in_rows(keys, value):
+        """Over the last ``host_rows`` connections of the destination, by their position."""
+        ordered = group(*keys).orderBy("_at")
+        return running(ordered, value, ordered.rangeBetween(start, -host_rows))
+
+    # Position within the destination; all groups below are subsets of it, so none of
+    # their windows needs another shuffle.
+    rows = rows.withColumn("_at", F.row_number().over(group().orderBy("emit_us", "first_seq")))
+    srv, port, source = ["service"], ["src_port"], ["service", "src_ip"]
+    frames = {"n": ([], one), "syn": ([], syn), "rst": ([], rst), "sn": (srv, one), "ssyn": (srv, syn),
+              "srst": (srv, rst), "port": (port, one), "source": (source, one)}
+    rows = rows.withColumns({f"_{k}": in_time(*f) for k, f in frames.items()})
+    # Both frames end at the row itself, so the shorter one, and with it the frame that
+    # satisfies both limits, is the one with the smaller counts.
+    rows = rows.withColumns({f"_h{k}": F.least(f"_{k}", in_rows(*f)) for k, f in frames.items()})
+    rows = rows.where(~F.col("is_halo"))
+    h = {k: F.col(f"_h{k}") for k in frames}
+
+    def rate(part: Column, whole: Column) -> Column:
+        whole = F.greatest(one, whole)
+        if digits is None:
+            return part / whole
+        # Half-even on the scaled quotient; far cheaper than decimal rounding.
+        scale = F.lit(10.0 ** digits)
+        return F.rint(part * scale / whole) / scale
+
+    def rest(part: Column, whole: Column) -> Column:
+        return 1.0 - rate(part, whole) if digits is None else rate(F.greatest(one, whole) - part, whole)
+
+    n, sn = F.col("_n"), F.col("_sn")
     out = {
-        "count": F.greatest(one, F.col("_n")),
-        "srv_count": F.greatest(one, F.col("_sn")),
-        "serror_rate": rate(_ratio(F.col("_syn"), F.col("_n"))),
-        "srv_serror_rate": rate(_ratio(F.col("_ssyn"), F.col("_sn"))),
-        "rerror_rate": rate(_ratio(F.col("_rst"), F.col("_n"))),
-        "srv_rerror_rate": rate(_ratio(F.col("_srst"), F.col("_sn"))),
-        "same_srv_rate": rate(same),
-        "diff_srv_rate": rate(1.0 - same),
+        "count": F.greatest(one, n),
+        "srv_count": F.greatest(one, sn),
+        "serror_rate": rate(F.col("_syn"), n),
+        "srv_serror_rate": rate(F.col("_ssyn"), sn),
+        "rerror_rate": rate(F.col("_rst"), n),
+        "srv_rerror_rate": rate(F.col("_srst"), sn),
+        "same_srv_rate": rate(sn, n),
+        "diff_srv_rate": rest(sn, n),
         "dst_host_count": F.greatest(one, h["n"]),
         "dst_host_srv_count": F.greatest(one, h["sn"]),
-        "dst_host_same_srv_rate": rate(host_same),
-        "dst_host_diff_srv_rate": rate(1.0 - host_same),
-        "dst_host_same_src_port_rate": rate(_ratio(h["port"], h["n"])),
-        "dst_host_srv_diff_host_rate": rate(_ratio(h["other"], h["sn"])),
-        "dst_host_serror_rate": rate(_ratio(h["syn"], h["n"])),
-        "dst_host_srv_serror_rate": rate(_ratio(h["ssyn"], h["sn"])),
-        "dst_host_rerror_rate": rate(_ratio(h["rst"], h["n"])),
-        "dst_host_srv_rerror_rate": rate(_ratio(h["srst"], h["sn"])),
+        "dst_host_same_srv_rate": rate(h["sn"], h["n"]),
+        "dst_host_diff_srv_rate": rest(h["sn"], h["n"]),
+        "dst_host_same_src_port_rate": rate(h["port"], h["n"]),
+        "dst_host_srv_diff_host_rate": rate(h["sn"] - h["source"], h["sn"]),
+        "dst_host_serror_rate": rate(h["syn"], h["n"]),
+        "dst_host_srv_serror_rate": rate(h["ssyn"], h["sn"]),
+        "dst_host_rerror_rate": rate(h["rst"], h["n"]),
+        "dst_host_srv_rerror_rate": rate(h["srst"], h["sn"]),
     }
-    helpers = ["bucket", "is_halo", "_n", "_syn", "_rst", "_recent", "_sn", "_ssyn", "_srst", "_host"]
+    helpers = ["bucket", "is_halo", "_at", *[f"_{k}" for k in frames], *[f"_h{k}" for k in frames]]
     return rows.withColumns(out).drop(*helpers)
-
-
-def _host_counts(recent: Column) -> Column:
-    """Eight counts over at most ``host_rows`` recent connections in one pass."""
-    names = ("n", "sn", "port", "other", "syn", "ssyn", "rst", "srst")
-    zero = F.struct(*[F.lit(0).alias(n) for n in names])
-
-    def step(acc, w):
-        srv = w["service"] == F.col("service")
-        hits = {
-            "n": F.lit(True), "sn": srv,
-            "port": w["src_port"] == F.col("src_port"),
-            "other": srv & (w["src_ip"] != F.col("src_ip")),
-            "syn": w["syn_error"], "ssyn": srv & w["syn_error"],
-            "rst": w["rst"], "srst": srv & w["rst"],
-        }
-        return F.struct(*[(acc[n] + hits[n].cast("int")).alias(n) for n in names])
-
-    return F.aggregate(recent, zero, step)

@@ -245,7 +245,7 @@ QUERIES = {
     "w05_service_rates": (service_rates, _with(_FLOWS + "," + _WINDOWS, """
         select conn_key, start_us, sn / n as same_srv_rate, 1.0::double - sn / n as diff_srv_rate from win""", True)),
     "w06_host_windows": (host_windows, _with(_FLOWS + "," + _WINDOWS, """
-        select conn_key, start_us, cast(hn as int) as dst_host_count, cast(hsn as int) as dst_host_srv_count,
+        select conn_key, start_us, hn as dst_host_count, hsn as dst_host_srv_count,
           hsn / hn as dst_host_same_srv_rate, 1.0::double - hsn / hn as dst_host_diff_srv_rate,
           he / hn as dst_host_serror_rate, hse / greatest(1, hsn) as dst_host_srv_serror_rate,
           hr / hn as dst_host_rerror_rate, hsr / greatest(1, hsn) as dst_host_srv_rerror_rate from win""", True)),
@@ -262,7 +262,7 @@ QUERIES = {
           0 as num_outbound_cmds, 0 as is_host_login, 0 as is_guest_login, n as count, sn as srv_count,
           e / n as serror_rate, se / greatest(1, sn) as srv_serror_rate, r / n as rerror_rate,
           sr / greatest(1, sn) as srv_rerror_rate, sn / n as same_srv_rate, 1.0::double - sn / n as diff_srv_rate,
-          0.0::double as srv_diff_host_rate, cast(hn as int) as dst_host_count, cast(hsn as int) as dst_host_srv_count,
+          0.0::double as srv_diff_host_rate, hn as dst_host_count, hsn as dst_host_srv_count,
           hsn / hn as dst_host_same_srv_rate, 1.0::double - hsn / hn as dst_host_diff_srv_rate,
           hport / hn as dst_host_same_src_port_rate, hother / greatest(1, hsn) as dst_host_srv_diff_host_rate,
           he / hn as dst_host_serror_rate, hse / greatest(1, hsn) as dst_host_srv_serror_rate,
