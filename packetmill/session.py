@@ -16,8 +16,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Struct-valued min/max (first packet of a flow) cannot use hash buffers;
-    # falling back to a sort per task is fine because the map side combines.
+    # Keyed stream state may outgrow the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
