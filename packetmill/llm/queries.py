@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetmill.llm import mixing, pieces, simhash, token_store, winnowing
+from packetmill.llm import langid, mixing, pieces, quality, simhash, token_store, winnowing
 from packetmill.llm.common import documents, pick
 from packetmill.session import scratch_path
 
@@ -28,6 +28,19 @@ def op1_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of one text, and lines that too many documents of a source share."""
+    return quality.judge(pick(documents(spark, sf_dir), "doc_id", "text", "source")).drop("kept_text")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of every text; rows whose fold is 2 of 4 teach nothing."""
+    docs = pick(documents(spark, sf_dir), "doc_id", "text", "lang")
+    held_out = langid.in_fold("doc_id", 4, 2)
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted fair queueing of all sources at weights 5, 2, 1."""
     mixed = mixing.mix(pick(documents(spark, sf_dir), "doc_id", "text", "source"))
@@ -91,6 +104,8 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_piece_encoding": (op1_piece_encoding, None),
+    "op2_quality_rules": (op2_quality_rules, quality.SQL),
+    "op3_language_id": (op3_language_id, None),
     "op6_source_mix": (op6_source_mix, OP6_SQL),
     "op7_token_store": (op7_token_store, None),
     "op8_winnowing": (op8_winnowing, None),
