@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetmill.llm import langid, mixing, pieces, quality, simhash, token_store, winnowing
+from packetmill.llm import langid, lattice, mixing, pieces, quality, simhash, token_store, winnowing
 from packetmill.llm.common import documents, pick
 from packetmill.session import scratch_path
 
@@ -41,6 +41,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marginal log probability of every text under the piece lattice; rows whose fold is 1 of 5 teach nothing."""
+    return lattice.score(pick(documents(spark, sf_dir), "doc_id", "text"), langid.in_fold("doc_id", 5, 1), PIECES)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted fair queueing of all sources at weights 5, 2, 1."""
     mixed = mixing.mix(pick(documents(spark, sf_dir), "doc_id", "text", "source"))
@@ -106,6 +111,7 @@ QUERIES = {
     "op1_piece_encoding": (op1_piece_encoding, None),
     "op2_quality_rules": (op2_quality_rules, quality.SQL),
     "op3_language_id": (op3_language_id, None),
+    "op5_lattice_likelihood": (op5_lattice_likelihood, None),
     "op6_source_mix": (op6_source_mix, OP6_SQL),
     "op7_token_store": (op7_token_store, None),
     "op8_winnowing": (op8_winnowing, None),
