@@ -165,7 +165,7 @@ def _block_words(table: pa.Table) -> tuple[list[Counter], Counter, Counter]:
     return each, every, known
 
 
-def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1,
+def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2,
           block_bytes: int = 12 << 20) -> DataFrame:
     """Per row: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 

@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetmill.llm import langid, lattice, mixing, pieces, quality, simhash, token_store, winnowing
+from packetmill.llm import langid, lattice, mixing, pieces, pii, quality, simhash, token_store, winnowing
 from packetmill.llm.common import documents, pick
 from packetmill.session import scratch_path
 
@@ -100,6 +100,14 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare_with_next(pick(documents(spark, sf_dir), "doc_id", "text"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by fixed rules and by the trained tagger."""
+    docs = pick(documents(spark, sf_dir), "doc_id", "text")
+    found = pii.detect(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone",
+                        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash over three-word shingles, linked at three differing bits through two 32-bit segments."""
     docs = pick(documents(spark, sf_dir), "doc_id", "text")
@@ -115,5 +123,6 @@ QUERIES = {
     "op6_source_mix": (op6_source_mix, OP6_SQL),
     "op7_token_store": (op7_token_store, None),
     "op8_winnowing": (op8_winnowing, None),
+    "op9_personal_data": (op9_personal_data, None),
     "op10_simhash_groups": (op10_simhash_groups, None),
 }
