@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetmill.llm import langid, lattice, mixing, pieces, pii, quality, simhash, token_store, winnowing
+from packetmill.llm import langid, lattice, mixing, pieces, pii, quality, simhash, suffixes, token_store, winnowing
 from packetmill.llm.common import documents, pick
 from packetmill.session import scratch_path
 
@@ -41,6 +41,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Remove all 100-byte strings that start earlier elsewhere."""
+    done = suffixes.remove_repeats(pick(documents(spark, sf_dir), "doc_id", "text"), span=100)
+    return done.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marginal log probability of every text under the piece lattice; rows whose fold is 1 of 5 teach nothing."""
     return lattice.score(pick(documents(spark, sf_dir), "doc_id", "text"), langid.in_fold("doc_id", 5, 1), PIECES)
@@ -119,6 +126,7 @@ QUERIES = {
     "op1_piece_encoding": (op1_piece_encoding, None),
     "op2_quality_rules": (op2_quality_rules, quality.SQL),
     "op3_language_id": (op3_language_id, None),
+    "op4_repeated_strings": (op4_repeated_strings, None),
     "op5_lattice_likelihood": (op5_lattice_likelihood, None),
     "op6_source_mix": (op6_source_mix, OP6_SQL),
     "op7_token_store": (op7_token_store, None),
