@@ -43,9 +43,21 @@ def class_severity(category: Column) -> Column:
     )
 
 
-def truthy(value: Column) -> Column:
-    """Boolean of a loosely typed text cell: true, 1 and yes count, null does not."""
-    return F.coalesce(F.lower(F.trim(value)).isin("true", "1", "yes"), F.lit(False))
+def truthy(value: Column, kind: str = "text") -> Column:
+    """Boolean of a loosely typed cell; null is false.
+
+    Of text, true, 1 and yes count, whatever the case and the white space around; a number counts
+    if it is not zero (NaN is not zero); a boolean is itself.
+    """
+    if kind == "text":
+        found = F.lower(F.regexp_replace(value, r"^\s+|\s+$", "")).isin("true", "1", "yes")
+    elif kind == "number":
+        found = value != 0
+    elif kind == "boolean":
+        found = value
+    else:
+        raise ValueError(f"kind is text, number or boolean, not {kind!r}")
+    return F.coalesce(found, F.lit(False))
 
 
 def confidence_percent(conf: Column) -> Column:

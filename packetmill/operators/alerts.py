@@ -28,7 +28,7 @@ def alert_rows(classified: DataFrame, model_version: str, at: Column | None = No
     raw = F.to_json(F.struct(*[
         F.col(c).cast("string").alias(c) if t in ("timestamp", "timestamp_ntz", "date") else F.col(c)
         for c, t in classified.dtypes if c not in SCORE_COLUMNS
-    ]))
+    ]), {"ignoreNullFields": "false"})
 
     def get(name, kind, default=None):
         value = F.col(name).cast(kind) if name in have else F.lit(None).cast(kind)

@@ -130,8 +130,9 @@ def distributions(live: DataFrame, baseline: DataFrame, numeric: list[str], cate
     parts = []
     if numeric:
         edges = baseline.where("kind = 'numeric'").select("feature", F.col("bins").alias("edges"), "expected")
-        counts = qt.value_counts(long_numeric(live, numeric))
-        seen = histogram(counts, edges.select("feature", "edges"))
+        # Edges are known, so values are binned before anything is grouped: a row per feature and bin leaves a task.
+        values = long_numeric(live, numeric).where("value is not null and not isnan(value)").withColumn("cnt", F.lit(1))
+        seen = materialise(histogram(values, edges.select("feature", "edges")), "live-histogram")
         inside = edges.select("feature", F.posexplode("expected").alias("bin", "expected"))
         if overflow_bins:
             outer = edges.select("feature", F.explode(F.array(F.lit(-1), F.size("edges") - 1)).alias("bin"),
@@ -238,14 +239,40 @@ def hourly_histogram(rows: DataFrame, ts: str, feature: str) -> DataFrame:
 
 
 def hourly_psi(histogram: DataFrame, baseline: DataFrame) -> DataFrame:
-    """PSI of each hour against one categorical baseline (category, expected)."""
-    categories = baseline.agg(F.collect_list(F.struct("category", "expected")).alias("b")).withColumn("one", F.lit(1))
-    hours = histogram.select("hour").distinct().withColumn("one", F.lit(1))
-    grid = hours.join(categories, "one").select("hour", F.inline("b"))
-    actual = histogram.withColumn("actual", F.col("n") / F.sum("n").over(Window.partitionBy("hour")))
-    pairs = grid.join(actual.drop("n"), ["hour", "category"], "left").select(
-        F.col("hour").alias("feature"), "expected", F.coalesce("actual", F.lit(0.0)).alias("actual"))
-    return psi(pairs).withColumnRenamed("feature", "hour")
+    """PSI of each hour against one categorical baseline (category, expected).
+
+    As in ``distributions``, categories the baseline does not know are one more slot, expected to hold next to nothing.
+    No hour is paired with categories it does not have: what those add follows from the sums of
+    e, ln e and e ln e over the whole baseline less the same sums over the hour's own categories.
+    """
+    eps = F.lit(PSI_EPS)
+    known = baseline.select("category", F.greatest("expected", eps).alias("e"))
+    whole = known.agg(F.count("*").alias("k"), F.coalesce(F.sum("e"), F.lit(0.0)).alias("e"),
+                      F.coalesce(F.sum(F.log("e")), F.lit(0.0)).alias("l"),
+                      F.coalesce(F.sum(F.col("e") * F.log("e")), F.lit(0.0)).alias("el")).first()  # four numbers
+    total = F.sum("n").over(Window.partitionBy("hour"))
+    rows = histogram.withColumn("a", F.col("n") / total).join(known, "category", "left")
+    seen = F.col("e").isNotNull()
+    own = rows.groupBy("hour").agg(
+        F.count_if(seen).alias("k"), *[F.coalesce(F.sum(F.when(seen, x)), F.lit(0.0)).alias(n) for n, x in (
+            ("a", F.col("a")), ("e", F.col("e")), ("l", F.log("e")), ("el", F.col("e") * F.log("e")),
+            ("p", F.col("a") * (F.log("a") - F.log("e"))), ("q", F.col("e") * (F.log("a") - F.log("e"))))],
+        F.coalesce(F.sum(F.when(~seen, F.col("a"))), F.lit(0.0)).alias("u"))
+    own = own.withColumns({
+        "mk": F.lit(whole["k"]) - F.col("k"), "me": F.lit(whole["e"]) - F.col("e"),
+        "ml": F.lit(whole["l"]) - F.col("l"), "mel": F.lit(whole["el"]) - F.col("el"),
+        "extra": F.when(F.col("u") > 0, eps).otherwise(F.lit(0.0))})
+    own = own.withColumns({"sa": F.col("a") + F.col("mk") * eps + F.col("u"), "se": F.lit(whole["e"]) + F.col("extra")})
+    c = F.log("se") - F.log("sa")
+    shift = c * (F.col("a") / F.col("sa") - F.col("e") / F.col("se"))
+    here = F.col("p") / F.col("sa") - F.col("q") / F.col("se") + shift
+    # Categories the hour lacks weigh eps: sums over (eps/sa - e/se) (ln eps - ln e + c).
+    base = F.log(eps) + c
+    lacking = (F.col("mk") * eps / F.col("sa") * base - eps / F.col("sa") * F.col("ml")
+               - F.col("me") / F.col("se") * base + F.col("mel") / F.col("se"))
+    x, y = F.col("u") / F.col("sa"), eps / F.col("se")
+    unseen = F.when(F.col("u") > 0, (x - y) * F.log(x / y)).otherwise(F.lit(0.0))
+    return own.select("hour", (here + lacking + unseen).alias("psi"))
 
 
 def perturb(flows: DataFrame, fraction: float, id_column: str = "flow_id") -> DataFrame:

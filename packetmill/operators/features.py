@@ -8,7 +8,6 @@ from pyspark.ml.feature import (
     ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,12 +120,22 @@ def stratified_split(table: DataFrame, id_column: str, class_column: str,
 
 
 def correlations(table: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, a_pos, b_pos, abs_r) for each pair a before b; null where a column is constant."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="skip").transform(table)
-    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
-    pairs = [(a, b, i, j, None if matrix[i, j] != matrix[i, j] else abs(float(matrix[i, j])))
-             for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
-    return table.sparkSession.createDataFrame(pairs, "a string, b string, a_pos int, b_pos int, abs_r double")
+    """(a, b, a_pos, b_pos, abs_r) for each pair a before b; null where a column is constant.
+
+    Pairwise: a null takes its row out of the pairs of that column only. One aggregate for all pairs.
+    """
+    nums = table.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def corr(i, j):
+        both = F.col(f"c{i}").isNotNull() & F.col(f"c{j}").isNotNull()
+        x, y = (F.when(both, F.col(f"c{k}")) for k in (i, j))
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.when(varies, F.abs(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))))
+
+    rows = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(i).alias("a_pos"), F.lit(j).alias("b_pos"),
+                     corr(i, j).alias("abs_r"))
+            for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    return nums.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 def correlated_columns(pairs: DataFrame, threshold: float = 0.95) -> DataFrame:

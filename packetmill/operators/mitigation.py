@@ -130,6 +130,15 @@ def list_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.orderBy("created_at", "rule_id")
 
 
+def live_blocks(decisions: DataFrame, now_epoch: int) -> DataFrame:
+    """Rule entries that are still held: ACTIONED decisions whose time to live has not run out.
+
+    An expired block gives back its rule number and its address, as the hourly expiry does.
+    """
+    return decisions.where((F.col("status") == "ACTIONED") & (F.col("ttl_epoch") > now_epoch)).select(
+        "rule_number", net.cidr_of(F.col("src_ip")).alias("cidr"), F.lit(False).alias("egress"))
+
+
 def expired_tags(tags: DataFrame, now_epoch: int, prefix: str = TTL_TAG_PREFIX) -> DataFrame:
     """Expired time-to-live tags; foreign keys, bad addresses and non-numbers are skipped."""
     return (

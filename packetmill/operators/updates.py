@@ -23,13 +23,12 @@ def inherit_synthetic(alerts: DataFrame, flows: DataFrame) -> DataFrame:
         "is_synthetic", F.col("is_synthetic") | F.col("_smoke").isNotNull()).drop("_smoke")
 
 
-def unprocessed(flows: DataFrame, limit: int = 5000) -> DataFrame:
-    """Next batch to score, oldest first. A heap per task, not a global sort."""
-    return flows.where(~F.col("processed_flag")).orderBy("created_at", "flow_id").limit(limit)
+def unprocessed(flows: DataFrame) -> DataFrame:
+    """All flows still to score. How many a run takes at once is for the stream source to say."""
+    return flows.where(~F.col("processed_flag"))
 
 
-def drift_window(flows: DataFrame, as_of: Column, hours: int = 1, limit: int | None = 10_000) -> DataFrame:
-    """Processed live flows loaded in the trailing window. ``limit=None`` takes them all."""
+def drift_window(flows: DataFrame, as_of: Column, hours: int = 1) -> DataFrame:
+    """All processed live flows loaded in the trailing window."""
     since = as_of - F.expr(f"interval {int(hours)} hours")
-    rows = flows.where((F.col("created_at") >= since) & F.col("processed_flag") & ~F.col("is_synthetic"))
-    return rows if limit is None else rows.orderBy("created_at", "flow_id").limit(limit)
+    return flows.where((F.col("created_at") >= since) & F.col("processed_flag") & ~F.col("is_synthetic"))

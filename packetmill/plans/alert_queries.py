@@ -10,7 +10,10 @@ from packetmill.operators import alerts as al
 from packetmill.operators import mitigation as mt
 from packetmill.operators import reports as rp
 from packetmill.operators import updates as up
+from packetmill.schemas import ALERTS
+from packetmill.session import scratch_path
 from packetmill.sources import adapters as A
+from packetmill.sources import sinks
 
 AS_OF = "2024-01-30 12:00:00"
 NOW_EPOCH = 1706616000  # AS_OF in seconds
@@ -165,9 +168,11 @@ def confidence_display(spark, sf):
 
 
 def coerced_flags(spark, sf):
-    words = ("true", " YES ", "1", "no", "0", "False")
+    words = ("true", "\t YES\n", "1", "no", "0", "False")
     cell = F.try_element_at(F.array(*map(F.lit, words)), (F.col("event_id") % 7 + 1).cast("int"))
-    return A.table(spark, sf, "events").select("event_id", fx.truthy(cell).alias("flag"))
+    return A.table(spark, sf, "events").select(
+        "event_id", fx.truthy(cell).alias("flag"), fx.truthy(F.col("event_id") % 3, "number").alias("number_flag"),
+        fx.truthy(F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 2 == 0), "boolean").alias("boolean_flag"))
 
 
 def log_severity(spark, sf):
@@ -175,9 +180,18 @@ def log_severity(spark, sf):
 
 
 def alert_sink_rows(spark, sf):
-    return _alerts(spark, sf).select(
+    """The table after two appended halves, as it is read back. One flow in seven has lost its source port."""
+    path = scratch_path(spark, "alert-table")
+    flows = A.scored(spark, sf).withColumn("src_port", F.when(F.col("seq") % 7 != 0, F.col("src_port")))
+    rows = al.alert_rows(al.classify(flows), VERSION)
+    for half in (0, 1):
+        sinks.append(rows.where(F.pmod(F.xxhash64("alert_id"), F.lit(2)) == half), path, ALERTS)
+    return spark.read.schema(ALERTS).parquet(path).select(
         "alert_id", "alert_ts", "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "attack_type",
-        "confidence", "anomaly_score", "severity", "is_zero_day_suspect", "is_synthetic", "mitigation_status")
+        "confidence", "anomaly_score", "severity", "is_zero_day_suspect", "is_synthetic", "mitigation_status",
+        F.array_join(F.array_sort(F.json_object_keys("raw_features")), ",").alias("raw_fields"),
+        F.get_json_object("raw_features", "$.seq").cast("long").alias("raw_seq"),
+        F.get_json_object("raw_features", "$.src_port").cast("int").alias("raw_src_port"))
 
 
 def alert_log_rows(spark, sf):
@@ -389,11 +403,10 @@ QUERIES = {
     "p16_summary_text": (summaries, _REASONS + "select flow_id, array_to_string(reasons, '; ') as summary from y"),
     "p17_live_views": (live_views, _q(_SC, "select alert_id, flow_id, severity from al where not is_synthetic")),
     "p18_unprocessed_batch": (batch_poll, _q(_SC, """
-        select flow_id, alert_ts as created_at, seq % 3 = 0 as processed_flag from sc where seq % 3 <> 0
-        order by alert_ts, flow_id limit 5000""")),
+        select flow_id, alert_ts as created_at, seq % 3 = 0 as processed_flag from sc where seq % 3 <> 0""")),
     "p19_drift_window": (window_filter, _q(_SC, f"""
         select flow_id, alert_ts as created_at from sc where seq % 3 = 0 and not is_synthetic
-          and alert_ts >= timestamp '{AS_OF}' - interval 24 hour order by alert_ts, flow_id limit 10000""")),
+          and alert_ts >= timestamp '{AS_OF}' - interval 24 hour""")),
     "p20_dispatch_predicate": (dispatchable, _q(_SC, """
         select alert_id, flow_id, severity, confidence from al
         where severity in ('CRITICAL', 'HIGH') and confidence > 0.95 and not is_synthetic""")),
@@ -401,7 +414,9 @@ QUERIES = {
         select alert_id, printf('%.1f%%', confidence * 100) as confidence_text,
           case when confidence * 100 >= 95 then 'high' when confidence * 100 >= 85 then 'medium' else 'low' end as band
         from al""")),
-    "p22_boolean_coercion": (coerced_flags, "select event_id, event_id % 7 in (0, 1, 2) as flag from events"),
+    "p22_boolean_coercion": (coerced_flags, """
+        select event_id, event_id % 7 in (0, 1, 2) as flag, event_id % 3 <> 0 as number_flag,
+          event_id % 5 <> 0 and event_id % 2 = 0 as boolean_flag from events"""),
     "x09_class_severity": (log_severity, _q(_SC, """
         select flow_id, case predicted_category when 'Normal' then 'INFO' when 'U2R' then 'CRITICAL'
           when 'R2L' then 'CRITICAL' when 'DoS' then 'HIGH' else 'MEDIUM' end as severity from sc""")),
@@ -409,8 +424,11 @@ QUERIES = {
         select distinct src_ip, src_ip <> 'not-an-ip' as valid, src_ip || '/32' as cidr, 'block_ttl_' || src_ip as tag,
           case when src_ip <> 'not-an-ip' then src_ip end as back from q""")),
     "s06_alert_rows": (alert_sink_rows, _q(_SC, """
-        select alert_id, alert_ts, flow_id, src_ip, dst_ip, src_port, dst_port, attack_type, confidence, anomaly_score,
-          severity, is_zero_day_suspect, is_synthetic, 'PENDING' as mitigation_status from al""")),
+        select alert_id, alert_ts, flow_id, src_ip, dst_ip, cast(case when seq % 7 <> 0 then src_port else 0 end as int) as src_port,
+          dst_port, attack_type, confidence, anomaly_score, severity, is_zero_day_suspect, is_synthetic,
+          'PENDING' as mitigation_status, 'alert_ts,dst_ip,dst_port,flow_id,is_synthetic,seq,src_ip,src_port' as raw_fields,
+          seq as raw_seq, cast(case when seq % 7 <> 0 then src_port end as int) as raw_src_port
+        from al""")),
     "s07_alert_log_rows": (alert_log_rows, _q(_SC, """
         select alert_ts as timestamp, 'tcp' as protocol, 'other' as service, seq % 1000 as src_bytes,
           0::bigint as dst_bytes, predicted_category, confidence,

@@ -268,8 +268,9 @@ def latest_drift(spark, sf):
 
 
 def _event_baseline(spark, sf):
-    profile = dr.categorical_profile(A.table(spark, sf, "events"), ["event_type"])
-    return profile.select("category", "expected")
+    """Event types of every other user, before the type signup was known."""
+    rows = A.table(spark, sf, "events").where("user_id % 2 = 0 and event_type <> 'signup'")
+    return dr.categorical_profile(rows, ["event_type"]).select("category", "expected")
 
 
 def _event_hours(spark, sf):
@@ -302,12 +303,14 @@ om as (select feature, case when e <= 0 then 1e-4 else e end as e, case when a <
 on2 as (select feature, e / sum(e) over w as e, a / sum(a) over w as a from om window w as (partition by feature))"""
 
 _HOURLY = """
-tot as (select event_type as category, count(*) / sum(count(*)) over () as share from events group by 1),
+tot as (select event_type as category, count(*) / sum(count(*)) over () as share from events
+  where user_id % 2 = 0 and event_type <> 'signup' group by 1),
 bl as (select category, (share + 1e-4) / (sum(share) over () + 1e-4 * count(*) over ()) as e from tot),
 hh as (select date_trunc('hour', ts) as hour, event_type as category, count(*) as n from events group by 1, 2),
 ha as (select hour, category, n / sum(n) over (partition by hour) as a from hh),
-hg as (select h.hour, bl.category, bl.e, case when coalesce(ha.a, 0) <= 0 then 1e-4 else ha.a end as a
-  from (select distinct hour from hh) h cross join bl left join ha on ha.hour = h.hour and ha.category = bl.category),
+hg as (select h.hour, bl.e, case when coalesce(ha.a, 0) <= 0 then 1e-4 else ha.a end as a
+  from (select distinct hour from hh) h cross join bl left join ha on ha.hour = h.hour and ha.category = bl.category
+  union all select hour, 1e-4, sum(a) from ha where category not in (select category from bl) group by hour),
 hn as (select hour, e / sum(e) over w as e, a / sum(a) over w as a from hg window w as (partition by hour)),
 hp as (select hour, round(sum((a - e) * ln(a / e)), 6) as psi from hn group by 1)"""
 

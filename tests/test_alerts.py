@@ -79,3 +79,16 @@ def test_updates(spark):
     assert {(r.flow_id, r.processed_flag, r.processed_at is not None) for r in done.collect()} == {("a", True, True), ("b", False, False)}
     alerts = spark.createDataFrame([("a", False), ("b", False)], "flow_id string, is_synthetic boolean")
     assert {tuple(r) for r in updates.inherit_synthetic(alerts, flows).select("flow_id", "is_synthetic").collect()} == {("a", False), ("b", True)}
+
+
+def test_raw_features_keep_null_fields(spark):
+    rows = spark.sql("select 'f1' flow_id, cast(null as string) src_ip, 'DoS' predicted_category, 0.99D confidence, -0.1D anomaly_score")
+    raw = al.alert_rows(al.classify(rows), "v1").first().raw_features
+    assert '"src_ip":null' in raw and '"flow_id":"f1"' in raw
+
+
+def test_truthiness_follows_the_type(spark):
+    row = spark.range(1).select(
+        fx.truthy(F.lit("\t True\n")).alias("a"), fx.truthy(F.lit("2")).alias("b"), fx.truthy(F.lit(2), "number").alias("c"),
+        fx.truthy(F.lit(0.0), "number").alias("d"), fx.truthy(F.lit(None).cast("boolean"), "boolean").alias("e")).first()
+    assert tuple(row) == (True, False, True, False, False)

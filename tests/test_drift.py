@@ -82,3 +82,16 @@ def test_report_and_alert(spark):
     quiet = dr.drift_report(scores, window, moment("2024-01-01 02:00:00"), threshold=.3)
     assert quiet.first().status == "OK" and dr.drift_alerts(quiet).count() == 0
     assert dr.monitor_text(report).first()[0] == "drift monitor: max_psi=0.3000, status=ALERT, drifted_features=1"
+
+
+def test_hourly_psi_pools_unseen_categories(spark):
+    """Like the grid of all categories: each hour against the baseline, unknown categories as one slot."""
+    import math
+    hist = spark.createDataFrame([(1, "x", 1), (1, "new", 60), (1, "newer", 39), (2, "x", 50), (2, "y", 50), (3, "y", 7)],
+                                 "hour int, category string, n long")
+    base = {"x": 0.5, "y": 0.3, "z": 0.2}
+    got = {r.hour: r.psi for r in dr.hourly_psi(hist, spark.createDataFrame(list(base.items()), "category string, expected double")).collect()}
+    for hour, seen, unseen in ((1, {"x": .01}, .99), (2, {"x": .5, "y": .5}, 0), (3, {"y": 1.0}, 0)):
+        pairs = [(e, seen.get(c, 1e-4)) for c, e in base.items()] + ([(1e-4, unseen)] if unseen else [])
+        se, sa = (sum(p[k] for p in pairs) for k in (0, 1))
+        assert abs(got[hour] - sum((a / sa - e / se) * math.log((a / sa) / (e / se)) for e, a in pairs)) < 1e-9

@@ -79,3 +79,14 @@ def test_train_save_load_score(spark, tmp_path):
     assert 1 / 3 <= got[0] <= got[1] <= 1 and got[2] < 0
     # A flow without the feature columns is completed with defaults.
     assert training.score(spark.createDataFrame([(1,)], "flow_id long"), models).count() == 1
+
+
+def test_correlation_is_pairwise(spark):
+    """A null in one column takes its row out of that column's pairs only."""
+    rows = [(1.0, 2.0, None, 5.0), (2.0, 1.0, 3.0, 5.0), (3.0, 5.0, 1.0, 5.0), (4.0, 3.0, 4.0, 5.0), (5.0, 4.5, None, 5.0)]
+    table = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {(r.a, r.b): r.abs_r for r in ft.correlations(table, ["a", "b", "c", "d"]).collect()}
+    frame = table.toPandas()
+    for pair in (("a", "b"), ("a", "c"), ("b", "c")):
+        assert abs(got[pair] - abs(frame[list(pair)].corr().iloc[0, 1])) < 1e-9
+    assert got["a", "d"] is None

@@ -77,7 +77,7 @@ def test_scoring_then_dispatch(spark, tmp_path):
     assert {r.flow_id for r in alerts.collect()} == {"a", "c", "d"}
     assert {r.flow_id for r in spark.read.parquet(scored + "/processed").collect()} == {"a", "b", "c", "d"}
     stream = spark.readStream.schema(alerts.schema).option("maxFilesPerTrigger", 1).parquet(scored + "/alerts")
-    finish(jobs.dispatch(stream, blocks, blocks + "-cp", lambda: 1000))
+    finish(jobs.dispatch(stream, blocks, blocks + "-cp", lambda number: 1000))
     got = spark.read.parquet(blocks + "/decisions").groupBy("src_ip").agg(
         F.sort_array(F.collect_list("status")).alias("s"), F.max("rule_number").alias("n")).collect()
     assert {r.src_ip: (r.s, r.n) for r in got} == {"1.1.1.1": (["ACTIONED", "SUPPRESSED"], 100), "3.3.3.3": (["ACTIONED"], 101)}
