@@ -11,6 +11,11 @@ are looked at packet by packet again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,12 +129,12 @@ def _with_session(seg: DataFrame, active: int) -> DataFrame:
 def _active_starts(seg: DataFrame, pk: DataFrame, arrival: bool, active: int) -> DataFrame:
     """Times at which the active timeout opens a new flow inside a long session.
 
-    Flow starts follow one another, so they come from a fold over the session. What is
-    folded is pruned first, exactly: the k-th start misses ``begin + k * active`` by at
+    Flow starts follow one another, so they come from a walk over the session. What is
+    walked is pruned first, exactly: the k-th start misses ``begin + k * active`` by at
     most the silences met on the way, so a packet can only be a start if its offset
     within the period is no larger than the sum of the largest silences of all slices up
-    to its own. The denser a connection the smaller those silences, which keeps the
-    candidates of a session near (number of starts)^2 whatever its packet rate.
+    to its own. An even connection has few candidates, a bursty one keeps all its packets; they
+    are read in order, batch by batch, and never gathered.
     """
     inner = F.when(F.col("opens"), F.lit(0)).otherwise(F.col("gap_us")).alias("gap_in")
     slices = seg.where("is_long").select(_KEY, "session", "slice", "begin_us", "opens", inner)
@@ -153,37 +158,50 @@ def _active_starts(seg: DataFrame, pk: DataFrame, arrival: bool, active: int) ->
     else:
         candidates = candidates.withColumn("prev_global_us", F.lit(None).cast("long"))
 
-    ordered = F.array_sort(F.collect_list(F.struct("ts_us", "seq", "prev_global_us", "slice", "opens")))
-    found = candidates.groupBy(_KEY, "session").agg(ordered.alias("c")).select(
-        _KEY, F.explode(_fold_starts(F.col("c"), arrival, active)).alias("s"))
-    return found.select(_KEY, "s.slice", "s.opens", F.col("s.ts_us").alias("split_us"),
-                        F.col("s.seq").alias("split_seq"))
-
-
-def _fold_starts(points, arrival: bool, active: int):
-    """Starts after the first: fold sorted points with state (start, due, starts)."""
-    start_type = "array<struct<ts_us:bigint,seq:bigint,slice:bigint,opens:boolean>>"
-    zero = F.struct(
-        points[0]["ts_us"].alias("start"), F.lit(False).alias("closed"),
-        F.array().cast(start_type).alias("out"))
-
-    def step(acc, p):
-        here = F.array(F.struct(*[p[c].alias(c) for c in ("ts_us", "seq", "slice", "opens")]))
-        due = p["ts_us"] >= acc["start"] + F.lit(active)
-        if arrival:
-            # The flow takes its own first overdue packet along unless another packet
-            # at or past the deadline was seen before it.
-            opens = acc["closed"] | (due & F.coalesce(
-                p["prev_global_us"] >= acc["start"] + F.lit(active), F.lit(False)))
-            closed = ~opens & due
-        else:
-            opens, closed = due, F.lit(False)
-        return F.struct(
-            F.when(opens, p["ts_us"]).otherwise(acc["start"]).alias("start"),
-            closed.alias("closed"),
-            F.when(opens, F.concat(acc["out"], here)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(points, zero, step, lambda acc: acc["out"])
+    # A connection's candidates come as a sorted stream; the walk holds one start, however many there are.
+    stream = (candidates.select(_KEY, "session", "slice", "opens", "ts_us", "seq", "prev_global_us")
+              .repartition(_KEY).sortWithinPartitions(_KEY, "session", "ts_us", "seq"))
+    return stream.mapInArrow(
+        _walk(arrival, active), f"{_KEY} string, slice bigint, opens boolean, split_us bigint, split_seq bigint")
+
+
+def _walk(arrival: bool, active: int):
+    """Starts after the first of each session, from points in order; sessions may cross batches.
+
+    From a start the walk jumps to the first point at or past the deadline. On the arrival clock the flow takes
+    this first overdue packet of its own along, and the next one opens, unless another packet at or past the deadline
+    was seen before it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, start, closed = None, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.array(batch.column(0).to_pylist(), object)
+            session, ts = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            seen = pc.fill_null(batch.column(6), np.iinfo(np.int64).min).to_numpy()
+            firsts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (session[1:] != session[:-1])])
+            found = []
+            for lo, hi in zip(firsts, np.append(firsts[1:], len(ts))):
+                at = lo
+                if (keys[lo], session[lo]) != current:
+                    current, start, closed, at = (keys[lo], session[lo]), ts[lo], False, lo + 1
+                while at < hi:
+                    if not closed:
+                        at += np.searchsorted(ts[at:hi], start + active)
+                        if at >= hi:
+                            break
+                        if arrival and seen[at] < start + active:
+                            closed, at = True, at + 1
+                            continue
+                    found.append(at)
+                    start, closed, at = ts[at], False, at + 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(i).take(pa.array(found, pa.int64())) for i in (0, 2, 3, 4, 5)],
+                names=[_KEY, "slice", "opens", "split_us", "split_seq"])
+
+    return run
 
 
 def assemble(packets: DataFrame, clock: str = "event_time",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetmill.functions.labels import CLASS_LABELS, macro_class
+from packetmill.functions.labels import macro_class
 from packetmill.operators import alerts as al
 from packetmill.operators import drift as dr
 from packetmill.operators import flows, reports
@@ -49,8 +49,15 @@ _ID_SQL = "md5(coalesce(" + _t("flow_id") + ", " + " || '|' || ".join(
 ) + f" || '|' || coalesce({_t('flow_start_time')}, {_t('timestamp')}, raw_id)))"
 _SMOKE_SQL = f"(file_name ilike 'flows/smoke_%' or coalesce({_t('flow_id')} ilike 'smoke-%', false))"
 
-_LABEL_CASES = " ".join(
-    f"when c in ({', '.join(repr(w) for w in words.split())}) then '{cls}'" for cls, words in CLASS_LABELS.items())
+# Written out here, so that an error in the library's own list shows.
+_LABEL_CASES = """
+  when c in ('neptune', 'back', 'land', 'pod', 'smurf', 'teardrop', 'mailbomb', 'apache2', 'processtable',
+    'udpstorm') then 'DoS'
+  when c in ('ipsweep', 'nmap', 'portsweep', 'satan', 'mscan', 'saint') then 'Probe'
+  when c in ('ftp_write', 'guess_passwd', 'imap', 'multihop', 'phf', 'spy', 'warezclient', 'warezmaster',
+    'sendmail', 'named', 'snmpgetattack', 'snmpguess', 'xlock', 'xsnoop', 'worm') then 'R2L'
+  when c in ('buffer_overflow', 'loadmodule', 'perl', 'rootkit', 'httptunnel', 'ps', 'sqlattack',
+    'xterm') then 'U2R'"""
 _LABELS = f"""
 lb as ({A.duck(A.LABELLED)}),
 lm as (select event_id, label, case {_LABEL_CASES} else 'Normal' end as attack_category

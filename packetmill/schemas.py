@@ -9,16 +9,16 @@ from pyspark.sql import types as T
 # ---------------------------------------------------------------------------
 # The 41 connection features in canonical order.
 # ---------------------------------------------------------------------------
-FEATURES = (
-    "duration protocol_type service flag src_bytes dst_bytes land wrong_fragment urgent hot "
-    "num_failed_logins logged_in num_compromised root_shell su_attempted num_root "
-    "num_file_creations num_shells num_access_files num_outbound_cmds is_host_login "
-    "is_guest_login count srv_count serror_rate srv_serror_rate rerror_rate srv_rerror_rate "
-    "same_srv_rate diff_srv_rate srv_diff_host_rate dst_host_count dst_host_srv_count "
-    "dst_host_same_srv_rate dst_host_diff_srv_rate dst_host_same_src_port_rate "
-    "dst_host_srv_diff_host_rate dst_host_serror_rate dst_host_srv_serror_rate "
-    "dst_host_rerror_rate dst_host_srv_rerror_rate"
-).split()
+FEATURES = [
+    "duration", "protocol_type", "service", "flag", "src_bytes", "dst_bytes", "land", "wrong_fragment",
+    "urgent", "hot", "num_failed_logins", "logged_in", "num_compromised", "root_shell", "su_attempted",
+    "num_root", "num_file_creations", "num_shells", "num_access_files", "num_outbound_cmds", "is_host_login",
+    "is_guest_login", "count", "srv_count", "serror_rate", "srv_serror_rate", "rerror_rate",
+    "srv_rerror_rate", "same_srv_rate", "diff_srv_rate", "srv_diff_host_rate", "dst_host_count",
+    "dst_host_srv_count", "dst_host_same_srv_rate", "dst_host_diff_srv_rate", "dst_host_same_src_port_rate",
+    "dst_host_srv_diff_host_rate", "dst_host_serror_rate", "dst_host_srv_serror_rate", "dst_host_rerror_rate",
+    "dst_host_srv_rerror_rate",
+]
 CATEGORICAL = ["protocol_type", "service", "flag"]
 NUMERIC = [c for c in FEATURES if c not in CATEGORICAL]
 RATES = [c for c in FEATURES if c.endswith("_rate")]
@@ -32,11 +32,11 @@ SPECIAL_DEFAULTS = {
 }
 
 # Features that a flow assembled from packets always carries as zero.
-CONTENT_FEATURES = (
-    "hot num_failed_logins logged_in num_compromised root_shell su_attempted num_root "
-    "num_file_creations num_shells num_access_files num_outbound_cmds is_host_login "
-    "is_guest_login"
-).split()
+CONTENT_FEATURES = [
+    "hot", "num_failed_logins", "logged_in", "num_compromised", "root_shell", "su_attempted", "num_root",
+    "num_file_creations", "num_shells", "num_access_files", "num_outbound_cmds", "is_host_login",
+    "is_guest_login",
+]
 
 CLASSES = ["Normal", "DoS", "Probe", "R2L", "U2R"]
 DRIFT_CLASS = "MODEL_DRIFT_ALERT"

@@ -135,3 +135,21 @@ def test_random_captures_match_replay(spark, clock, seed):
     got = flows.assemble(frame(spark, rows).repartition(4), clock).select(
         "conn_key", "start_us", "last_us", "packets", "emit_us", "is_flush").collect()
     assert sorted(map(tuple, got)) == replay(rows, clock)
+
+
+@pytest.mark.parametrize("clock", ["event_time", "arrival"])
+def test_bursty_hour_in_small_batches(spark, clock):
+    """Bursts every 20 s make every packet a candidate; the walk keeps one start across many batches."""
+    rows = [packet(40 * b + i, 20 * b + i / 1000, *((CLIENT, SERVER) if i % 3 else (SERVER, CLIENT))) for b in range(180) for i in range(40)]
+    rows += [packet(7200 + i, 3570.5 + i, ("10.0.0.7", 5), ("10.0.0.8", 6)) for i in range(5)]
+    rows.sort(key=lambda r: r[1])
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "97")
+    try:
+        got = flows.assemble(frame(spark, rows).repartition(3), clock).select(
+            "conn_key", "start_us", "last_us", "packets", "emit_us", "is_flush").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(map(tuple, got)) == replay(rows, clock)
