@@ -118,13 +118,14 @@ _WIN_OUT = "conn_key string, start_us bigint, " + ", ".join(f"{c} bigint" for c
 
 
 def _trailing(groups: np.ndarray, first: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` over the same group among rows first..self, by prefix sums."""
-    out = np.zeros(len(groups), dtype=np.int64)
-    for g in np.unique(groups):
-        members = np.flatnonzero(groups == g)
-        run = np.concatenate([[0], np.cumsum(values[members])])
-        out[members] = run[1:] - run[np.searchsorted(members, first[members], side="left")]
-    return out
+    """Sum of ``values`` over the same group among rows first..self, by prefix sums over the rows in group order."""
+    n = len(groups)
+    order = np.argsort(groups, kind="stable")
+    run = np.concatenate([[0], np.cumsum(values[order])])
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    begin = np.searchsorted(groups[order].astype(np.int64) * n + order, groups.astype(np.int64) * n + first)
+    return run[place + 1] - run[begin]
 
 
 def _bucket_counts(rows: pd.DataFrame) -> pd.DataFrame:
