@@ -10,6 +10,7 @@ is not in the store is told by its fingerprint.
 from __future__ import annotations
 
 import io
+import json
 import struct
 import uuid
 import zlib
@@ -22,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetmill.llm.common import input_bytes, texts_of, with_key
-from packetmill.llm.words import ChunkEncoder
 
 MAGIC = b"PMIDS1\0\0"
 _HEADER = "<8sQ"  # magic, bytes per id
 _BEGIN = struct.calcsize(_HEADER)
+# How byte-level vocabularies part a text before merging (fixed value of the format).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _MANIFEST = pa.schema([("shard", pa.int64()), ("name", pa.string()), ("first_key", pa.int64()),
                        ("last_key", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -126,16 +128,60 @@ class Shard:
         self._file.close()
 
 
-def _encoder(model: str):
-    from tokenizers import Tokenizer
+def _alphabet() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: visible Latin-1 as itself, the others from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
-    tokenizer = Tokenizer.from_str(model)
 
-    def encode(parts: list[str], spaced: bool) -> list[list[int]]:
-        given = [" " + p for p in parts] if spaced else parts
-        return [e.ids for e in tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+class ByteEncoder:
+    """Ids of a byte-level tokenizer file, the same as its own library gives.
 
-    return ChunkEncoder(encode, "<u4"), tokenizer.get_vocab_size(True)
+    Where merges stand in the order of their ids, as ranks, the faster of two libraries for such vocabularies encodes; each
+    encoder holds the first texts it gets against the file's own library. Other files are encoded by the latter.
+    """
+
+    CHECKED = 3
+
+    def __init__(self, model: str):
+        from tokenizers import Tokenizer
+
+        self.slow, self.left = Tokenizer.from_str(model), self.CHECKED
+        self.vocabulary = self.slow.get_vocab_size(True)
+        self.fast = self._ranked(json.loads(model))
+
+    def _ranked(self, file: dict):
+        split = file.get("pre_tokenizer") or {}
+        added = file.get("added_tokens") or []
+        plain = (file["model"]["type"] == "BPE" and file.get("normalizer") is None and split.get("type") == "ByteLevel"
+                 and not split.get("add_prefix_space") and split.get("use_regex", True)
+                 and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added))
+        if not plain:
+            return None
+        import tiktoken
+
+        letters, special = _alphabet(), {t["content"]: t["id"] for t in added}
+        ranks = {bytes(letters[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+        made = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in file["model"]["merges"]]
+        order = [file["model"]["vocab"][t] for t in made]
+        if order != sorted(order) or len(ranks) != len(made) + 256:
+            return None
+        self.special = list(special)
+        return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str) -> list[int]:
+        if self.fast is None:
+            return self.slow.encode(text, add_special_tokens=False).ids
+        if any(t in text for t in self.special):
+            ids = self.fast.encode(text, allowed_special="all")
+        else:
+            ids = self.fast.encode_ordinary(text)
+        if self.left and text:
+            self.left -= 1
+            if ids != self.slow.encode(text, add_special_tokens=False).ids:
+                raise ValueError("the two libraries disagree on this vocabulary")
+        return ids
 
 
 def write_store(rows: DataFrame, tokenizer_path: str, folder: str, text_col: str = "text", key_col: str = "__key",
@@ -153,8 +199,8 @@ def write_store(rows: DataFrame, tokenizer_path: str, folder: str, text_col: str
     total = input_bytes(rows, text_col) if total_bytes is None else total_bytes
 
     def run(batches):
-        encode, vocabulary = _encoder(model.value)
-        width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
+        encode = ByteEncoder(model.value)
+        width = 2 if max(encode.vocabulary, end_id + 1) <= 1 << 16 else 4
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
@@ -167,7 +213,7 @@ def write_store(rows: DataFrame, tokenizer_path: str, folder: str, text_col: str
                 for text in texts_of(batch.column(1)):
                     ids = encode(text)
                     lengths.append(len(ids) + 1)
-                    out.write(ids.astype(f"<u{width}").tobytes() + tail)
+                    out.write(np.array(ids, f"<u{width}").tobytes() + tail)
         if not keys:
             system.delete_file(f"{root}/{name}.ids")
             return
@@ -192,12 +238,12 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return stored.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def look_up(keys: DataFrame, folder: str, key_col: str = "__key") -> DataFrame:
+def look_up(keys: DataFrame, folder: str, key_col: str = "__key", beside: str | None = None) -> DataFrame:
     """``(key_col, found, start, n_tokens, ids)`` for every asked key, read from the store.
 
-    ``ids`` are packed little-endian unsigned 32-bit. ``start`` counts all ids before the document. Keys
-    meet their shard by its key range: the ranges of all shards are sent to the tasks (24 bytes a shard, which
-    holds megabytes), and the keys of one shard are looked up together.
+    ``ids`` are packed little-endian unsigned 32-bit. ``start`` counts all ids before the document. ``beside`` names a
+    long column of ``keys`` that is kept. Keys meet their shard by its key range: the ranges of all shards are sent
+    to the tasks (24 bytes a shard, which holds megabytes), and the keys of one shard are looked up together.
     """
     spark = keys.sparkSession
     shards = read_manifest(spark, folder).orderBy("shard").collect()
@@ -207,30 +253,31 @@ def look_up(keys: DataFrame, folder: str, key_col: str = "__key") -> DataFrame:
     def place(batches):
         for batch in batches:
             at = np.searchsorted(firsts.value, batch.column(0).to_numpy(zero_copy_only=False), "right") - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32())], names=["k", "shard"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.int32())], names=["k", "x", "shard"])
 
     def access(group: tuple, table: pa.Table) -> pa.Table:
         asked = table.column("k").to_numpy()
         number = group[0].as_py()
-        out = {"k": asked, "found": np.zeros(len(asked), bool), "start": [None] * len(asked),
-               "n_tokens": [None] * len(asked), "ids": [None] * len(asked)}
+        found, start, length, ids = np.zeros(len(asked), bool), [None] * len(asked), [None] * len(asked), [None] * len(asked)
         if number >= 0:
             name, before = files.value[number]
             shard = Shard(f"{folder}/{name}.ids", f"{folder}/{name}.idx")
-            there, offsets, lengths = shard.find(asked)
-            out["found"] = there
-            for i in np.flatnonzero(there):
-                out["start"][i], out["n_tokens"][i] = before + int(offsets[i]), int(lengths[i])
-                out["ids"][i] = shard.ids(int(offsets[i]), int(lengths[i])).astype("<u4").tobytes()
+            found, offsets, lengths = shard.find(asked)
+            for i in np.flatnonzero(found):
+                start[i], length[i] = before + int(offsets[i]), int(lengths[i])
+                ids[i] = shard.ids(int(offsets[i]), int(lengths[i])).astype("<u4").tobytes()
             shard.close()
-        return pa.table({"k": pa.array(out["k"], pa.int64()), "found": pa.array(out["found"]),
-                         "start": pa.array(out["start"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()),
-                         "ids": pa.array(out["ids"], pa.binary())})
+        return pa.table({"k": table.column("k"), "x": table.column("x"), "found": pa.array(found),
+                         "start": pa.array(start, pa.int64()), "n_tokens": pa.array(length, pa.int64()),
+                         "ids": pa.array(ids, pa.binary())})
 
-    placed = keys.select(F.col(key_col).cast("long").alias("k")).mapInArrow(place, "k long, shard int")
+    asked = keys.select(F.col(key_col).cast("long").alias("k"), (F.col(beside) if beside else F.lit(None)).cast("long").alias("x"))
+    # A task per shard: keys are small, what is read for them is not.
+    placed = asked.mapInArrow(place, "k long, x long, shard int").repartition(max(1, len(shards)), "shard")
     found = placed.groupBy("shard").applyInArrow(
-        access, "k long, found boolean, start long, n_tokens long, ids binary")
-    return found.withColumnRenamed("k", key_col)
+        access, "k long, x long, found boolean, start long, n_tokens long, ids binary")
+    found = found.withColumnRenamed("k", key_col)
+    return found.withColumnRenamed("x", beside) if beside else found.drop("x")
 
 
 def stored_documents(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id",
@@ -242,8 +289,7 @@ def stored_documents(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     """
     rows = with_key(docs.select(id_col, text_col), id_col, tie=text_col)
     write_store(rows, tokenizer_path, folder, text_col, "__key", end_id, shard_bytes)
-    back = look_up(rows.select("__key"), folder)
-    return back.join(rows.select("__key", id_col), "__key").select("__key", id_col, "start", "n_tokens", "ids")
+    return look_up(rows.select("__key", id_col), folder, "__key", id_col).drop("found")
 
 
 def crc32(ids: bytes) -> int:

@@ -1,7 +1,7 @@
 """Exact encoding of long texts chunk by chunk, with a bounded memory of chunks already seen.
 
-Both encoders here never join what stands on two sides of a single space between two visible
-characters. So a text is the row of its chunks, each with the space before it, and frequent chunks are encoded once
+Where no piece of a vocabulary crosses the beginning of a word, nothing is joined across a single space between
+two visible characters. So a text is the row of its chunks, each with the space before it, and frequent chunks are encoded once
 per task. Texts where a space has another white space beside it are cut at fewer places.
 """
 
