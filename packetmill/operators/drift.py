@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetmill.operators import quantiles as qt
-from packetmill.schemas import DRIFT_CLASS, PSI_EPS, PSI_THRESHOLD
+from packetmill.schemas import DRIFT_CLASS, DRIFT_REPORTS, PSI_EPS, PSI_THRESHOLD
 from packetmill.session import materialise
+from packetmill.sources.sinks import append, check_contract
 
 
 def long_numeric(table: DataFrame, columns: list[str]) -> DataFrame:
@@ -196,7 +197,7 @@ def drift_report(scores: DataFrame, window: DataFrame, check_ts: Column,
         F.array_sort(F.collect_list(drifted)).alias("drifted_features"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "shown")))).alias("feature_psi_details"))
     one = F.lit(1).alias("one")
-    report = report.select("*", one).join(window.select("*", one), "one")
+    report = report.select("*", one).join(window.select("*", one), "one")  # one row each
     return report.select(
         F.md5(F.concat_ws("|", "window_start", "window_end", check_ts.cast("string"))).alias("report_id"),
         check_ts.alias("check_ts"), "window_start", "window_end", "max_psi",
@@ -225,11 +226,28 @@ def drift_alerts(reports: DataFrame) -> DataFrame:
         F.lit("PENDING").alias("mitigation_status"))
 
 
-def monitor_text(reports: DataFrame) -> DataFrame:
-    return reports.select(F.concat(
+def monitor(live: DataFrame, baseline: DataFrame, ts: str, as_of: Column, path: str, numeric: list[str], categorical: list[str],
+            hours: int = 1, threshold: float = PSI_THRESHOLD) -> DataFrame:
+    """One run of the drift job: the trailing window against the stored baseline, the report appended, its alerts returned.
+
+    The report is written first and read back by its id, so the alerts are those of the stored row.
+    """
+    recent = live.where((F.col(ts) >= as_of - F.expr(f"interval {int(hours)} hours")) & (F.col(ts) < as_of))
+    report = drift_report(feature_psi(recent, baseline, numeric, categorical), report_window(recent, ts, as_of), as_of, threshold)
+    report = materialise(check_contract(report, DRIFT_REPORTS), "drift-report")
+    append(report, path, DRIFT_REPORTS)
+    return drift_alerts(report)
+
+
+def monitor_line() -> Column:
+    return F.concat(
         F.lit("drift monitor: max_psi="), F.format_string("%.4f", "max_psi"),
         F.lit(", status="), "status", F.lit(", drifted_features="),
-        F.size("drifted_features").cast("string")).alias("summary"))
+        F.size("drifted_features").cast("string"))
+
+
+def monitor_text(reports: DataFrame) -> DataFrame:
+    return reports.select(monitor_line().alias("summary"))
 
 
 def hourly_histogram(rows: DataFrame, ts: str, feature: str) -> DataFrame:

@@ -289,6 +289,40 @@ def hourly_drift(spark, sf):
     return scores.select("hour", F.round("psi", 6).alias("psi"))
 
 
+def _drift_runs(spark, sf):
+    """The drift job at three moments, 24 hours of events each, against a baseline that lacks a type."""
+    path = scratch_path(spark, "drift-reports")
+    events = A.table(spark, sf, "events")
+    profile = dr.categorical_profile(events.where("user_id % 2 = 0 and event_type <> 'signup'"), ["event_type"])
+    base = materialise(profile.groupBy("feature").agg(
+        F.lit("categorical").alias("kind"), F.lit(None).cast("array<double>").alias("bins"),
+        F.collect_list("category").alias("categories"), F.collect_list("expected").alias("expected")), "baseline")
+    alerts = [dr.monitor(events, base, "ts", reports.moment(at), path, [], ["event_type"], hours=24) for at in _RUNS]
+    return spark.read.parquet(path), alerts
+
+
+def drift_job(spark, sf):
+    """Every stored report, with the alert that its run raised."""
+    stored, alerts = _drift_runs(spark, sf)
+    raised = alerts[0].unionByName(alerts[1]).unionByName(alerts[2]).select(
+        F.col("alert_ts").alias("check_ts"), F.col("severity").alias("alert_severity"))
+    return stored.join(raised, "check_ts", "left").select(
+        "check_ts", "window_start", "window_end", F.round("max_psi", 5).alias("max_psi"), "status",
+        F.size("drifted_features").alias("n_drifted"), "alert_severity")
+
+
+def latest_report(spark, sf):
+    """The newest stored report and its line of text."""
+    stored, _ = _drift_runs(spark, sf)
+    text = F.regexp_replace(dr.monitor_line(), "max_psi=[0-9.]+, ", "")
+    return reports.latest(stored, "check_ts", 1).select(
+        "check_ts", F.round("max_psi", 5).alias("max_psi"), "status", text.alias("summary"))
+
+
+# Moments of the drift job.
+_RUNS = ["2024-01-10 00:00:00", "2024-01-20 06:00:00", "2024-01-30 00:00:00"]
+
+
 def perturbed(spark, sf):
     rows = A.packets(spark, sf).select(
         F.col("seq").alias("flow_id"), F.col("protocol").alias("protocol_type"),
@@ -321,7 +355,28 @@ hg as (select h.hour, bl.e, case when coalesce(ha.a, 0) <= 0 then 1e-4 else ha.a
 hn as (select hour, e / sum(e) over w as e, a / sum(a) over w as a from hg window w as (partition by hour)),
 hp as (select hour, round(sum((a - e) * ln(a / e)), 6) as psi from hn group by 1)"""
 
+_DRIFT_RUNS = f"""
+bt as (select event_type as category, count(*) / sum(count(*)) over () as share from events
+  where user_id % 2 = 0 and event_type <> 'signup' group by 1),
+bl as (select category, (share + 1e-4) / (sum(share) over () + 1e-4 * count(*) over ()) as e from bt),
+rn as (select unnest([{', '.join(f"timestamp '{t}'" for t in _RUNS)}]) as check_ts),
+ev as (select check_ts, ts, event_type as category from rn join events on ts >= check_ts - interval 24 hour and ts < check_ts),
+ha as (select check_ts, category, count(*) / sum(count(*)) over (partition by check_ts) as a from ev group by 1, 2),
+hg as (select r.check_ts, bl.e, case when coalesce(ha.a, 0) <= 0 then 1e-4 else ha.a end as a
+  from rn r cross join bl left join ha on ha.check_ts = r.check_ts and ha.category = bl.category
+  union all select check_ts, 1e-4, sum(a) from ha where category not in (select category from bl) group by check_ts),
+hn as (select check_ts, e / sum(e) over w as e, a / sum(a) over w as a from hg window w as (partition by check_ts)),
+hp as (select check_ts, round(round(sum((a - e) * ln(a / e)), 6), 5) as max_psi from hn group by 1),
+rp as (select hp.*, case when max_psi > 0.25 then 'ALERT' else 'OK' end as status, (select min(ts) from ev where ev.check_ts = hp.check_ts) as window_start,
+  (select max(ts) from ev where ev.check_ts = hp.check_ts) as window_end from hp)"""
+
 QUERIES = {
+    "d02_drift_job": (drift_job, _q(_DRIFT_RUNS, """
+        select check_ts, window_start, window_end, max_psi, status, cast(status = 'ALERT' as int) as n_drifted,
+          case when status = 'ALERT' then 'HIGH' end as alert_severity from rp""")),
+    "o02_latest_report": (latest_report, _q(_DRIFT_RUNS, """
+        select check_ts, max_psi, status, 'drift monitor: status=' || status || ', drifted_features=' || cast(status = 'ALERT' as int) as summary
+        from rp order by check_ts desc limit 1""")),
     "s02_json_round_trip": (json_round_trip, fq._with(fq._FLOWS + "," + fq._IDS, f"""
         select flow_id, src_ip, dst_ip, src_bytes, dst_bytes, flag, {fq._ISO.format(c='last_us')} as timestamp from ids""", True)),
     "s03_landing": (landed, _q(_LAND, "select raw_id, file_name, file_row_number, ok as parsed from ld")),
