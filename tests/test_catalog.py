@@ -6,6 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from packetmill.plans import catalog
 from tools import check_oracle
 
 SF = "/root/testdata/sf0.001"
@@ -14,15 +15,16 @@ ROWS_ONLY = {"l06_soft_vote", "l07_isolation_forest", "l08_batch_scoring", "l09_
              "l10_model_comparison", "l11_training_run", "o04_feature_importance", "o06_best_model", "s10_artifacts"}
 # A spread over all modules; PACKETMILL_ALL_ORACLES=1 compares every query.
 QUICK = ["w00_flow_records", "w02_arrival_clock", "j11_next_packet", "p01_flatten_types", "a14_feature_psi",
-         "a03_kpis", "m01_dispatch_plan", "m04_expiry", "p15_explanation", "a09_class_metrics", "o05_mutual_information"]
+         "a03_kpis", "m01_dispatch_plan", "m04_expiry", "t05_dispatch_loop", "d02_drift_job", "s06_alert_rows", "p15_explanation", "a09_class_metrics", "o05_mutual_information"]
 
 
 def chosen():
-    return sorted(entry.oracle_sql()) if os.environ.get("PACKETMILL_ALL_ORACLES") else QUICK
+    return sorted(catalog.oracle_sql()) if os.environ.get("PACKETMILL_ALL_ORACLES") else QUICK
 
 
 def test_every_query_has_an_oracle_or_is_listed():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.queries()) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
