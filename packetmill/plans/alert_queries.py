@@ -204,6 +204,16 @@ def alert_log_recent(spark, sf):
     return rows.select(F.col("timestamp").alias("id"), "predicted_category", "severity").orderBy(F.desc("id")).limit(500)
 
 
+def alert_log_cleared(spark, sf):
+    """The log after rows, a clear, and the rows of odd flows: only the latter are there, under the same schema."""
+    path = scratch_path(spark, "alert-log")
+    rows = al.log_rows(_classified(spark, sf), F.col("seq"), fx.batch_hit_text(F.col("predicted_category")))
+    rows.write.parquet(path)
+    sinks.clear(rows, path)
+    rows.where("timestamp % 2 = 1").write.mode("append").parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).select(F.col("timestamp").alias("id"), "predicted_category", "features_summary")
+
+
 def run_summary(spark, sf):
     return rp.run_summary(_classified(spark, sf))
 
@@ -440,6 +450,9 @@ QUERIES = {
         select seq as id, predicted_category, case predicted_category when 'Normal' then 'INFO' when 'U2R' then 'CRITICAL'
           when 'R2L' then 'CRITICAL' when 'DoS' then 'HIGH' else 'MEDIUM' end as severity
         from cl where severity in ('CRITICAL', 'HIGH', 'MEDIUM') order by seq desc limit 500""")),
+    "s08_alert_log_cleared": (alert_log_cleared, _q(_SC, """
+        select seq as id, predicted_category, 'Batch score hit: ' || predicted_category as features_summary
+        from cl where severity in ('CRITICAL', 'HIGH', 'MEDIUM') and seq % 2 = 1""")),
     "j02_status_merge": (write_back, _q(_PLAN, """
         select alert_id, mitigation_status, mitigated_at, reason, rule_number, ttl_epoch from ast""")),
     "j03_mark_processed": (marked, _q(_SC, f"""

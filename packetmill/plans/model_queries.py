@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from packetmill.models import compare, ensemble, iforest, training
@@ -198,18 +201,17 @@ def artifact_parts(spark, sf):
 
 
 def registry(spark, sf):
-    """Two versions appended; the metrics are counts of the given tables."""
-    path = scratch_path(spark, "registry")
-    n = A.table(spark, sf, "events").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("rows"))).alias("m"))
-    at = rp.moment(dq.CHECK_TS)
-    for version in ("v1", "v2"):
-        rows = training.registry_rows(spark, version, "models/" + version, "", at).withColumn("one", F.lit(1))
-        rows = rows.join(n.withColumn("one", F.lit(1)), "one").withColumn(
-            "training_metrics", F.when(F.col("training_metrics") == "", F.col("m"))).drop("one", "m")
-        training.register(rows, path)
+    """Two versions appended with the metrics of the predictions; the later one is read back."""
+    path, at = scratch_path(spark, "registry"), rp.moment(dq.CHECK_TS)
+    found = metric_summary(spark, sf).first().asDict()  # one row of metrics
+    for version, share in (("v1", 0.5), ("v2", 1.0)):
+        numbers = json.dumps({**found, "accuracy": found["accuracy"] * share})
+        training.register(training.registry_rows(spark, version, "models/" + version, numbers, at), path)
     table = spark.read.parquet(path)
-    return rp.latest_per_key(table, ["model_name"], ["registered_at", "version"]).select(
-        "model_name", "version", "model_type", "stage_path", "training_metrics", "is_active")
+    newest = rp.latest_per_key(table, ["model_name"], ["registered_at", "version"])
+    return newest.select("model_name", "version", "model_type", "stage_path", "is_active", *[
+        F.get_json_object("training_metrics", f"$.{m}").cast(t).alias(m)
+        for m, t in (("accuracy", "double"), ("recall", "double"), ("samples", "long"))])
 
 
 def flow_csv(spark, sf):
@@ -220,10 +222,23 @@ def flow_csv(spark, sf):
 
 
 def clustered_layout(spark, sf):
-    """Alert rows written in triage order: rows and files per severity after the write."""
-    path = scratch_path(spark, "alerts")
-    sinks.write_clustered(aq._alerts(spark, sf), path, "alerts")
-    return spark.read.parquet(path).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    """The three tables in their layout: rows, and whether the first key's ranges of the files touch at most at their ends.
+
+    Then a read for some values of the key opens only the files of those values.
+    """
+    flows = A.scored(spark, sf).select("flow_id", (F.col("seq") % 3 == 0).alias("processed_flag"), F.col("alert_ts").alias("created_at"))
+    stored = dq._drift_runs(spark, sf)[0]
+    out = []
+    for table, rows in (("flow_features", flows), ("alerts", aq._alerts(spark, sf)), ("drift_reports", stored)):
+        path, key = scratch_path(spark, table), sinks.LAYOUT[table][0]
+        sinks.write_clustered(rows, path, table, 4)
+        files = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(
+            F.min(F.col(key).cast("string")).alias("low"), F.max(F.col(key).cast("string")).alias("high"), F.count(F.lit(1)).alias("n"))
+        order = Window.orderBy("low", "high")  # a row per file
+        fits = F.coalesce(F.col("low") >= F.lag("high").over(order), F.lit(True))
+        out.append(files.withColumn("fits", fits).agg(F.sum("n").alias("n"), F.bool_and("fits").alias("in_ranges")).select(
+            F.lit(table).alias("table_name"), "n", "in_ranges"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 def probability_argmax(spark, sf):
@@ -322,11 +337,14 @@ QUERIES = {
     "s05_flow_csv": (flow_csv, _q(f"pk as ({A.duck(A.PACKETS)})", """
         select seq as flow_id, src_ip, length, protocol as protocol_type from pk""")),
     "s10_artifacts": (artifact_parts, None),
-    "s11_registry": (registry, """
+    "s11_registry": (registry, _q(_MX, """
         select name as model_name, 'v2' as version, kind as model_type, 'models/v2/' || folder as stage_path,
-          case when name = 'nids_ensemble' then '{"rows":' || (select count(*) from events) || '}' end as training_metrics,
-          true as is_active
+          case when name = 'nids_ensemble' then (select round(sum(tp) / sum(tp + fn), 9) from pm) end as accuracy,
+          case when name = 'nids_ensemble' then (select round(sum(recall * (tp + fn)) / sum(tp + fn), 9) from pm) end as recall,
+          case when name = 'nids_ensemble' then (select cast(sum(tp + fn) as bigint) from pm) end as samples, true as is_active
         from (values ('nids_ensemble', 'ENSEMBLE_CLASSIFIER', 'forest'), ('isolation_forest', 'ISOLATION_FOREST', 'isolation_forest'),
-          ('preprocessor', 'PREPROCESSOR', 'preprocessor'), ('baseline_distribution', 'BASELINE_DISTRIBUTION', 'baseline')) t(name, kind, folder)"""),
-    "s12_clustered_layout": (clustered_layout, _q(aq._SC, "select severity, count(*) as n from al group by 1")),
+          ('preprocessor', 'PREPROCESSOR', 'preprocessor'), ('baseline_distribution', 'BASELINE_DISTRIBUTION', 'baseline')) t(name, kind, folder)""")),
+    "s12_clustered_layout": (clustered_layout, _q(aq._SC, """
+        select 'flow_features' as table_name, count(*) as n, true as in_ranges from sc
+        union all select 'alerts', count(*), true from al union all select 'drift_reports', 3, true""")),
 }
