@@ -106,14 +106,14 @@ def stratified_split(table: DataFrame, id_column: str, class_column: str,
     rule = edge.join(below.join(goal, "feature"), F.col("_s") == F.col("feature")).select(
         "_s", "_edge", (F.col("k") - F.col("under")).alias("_open"))
 
-    # One rule row per class.
-    marked = drawn.join(F.broadcast(rule), "_s", "left")
-    tied = marked.where("_d = _edge").select(id_column, "_s", "_open", F.row_number().over(
-        Window.partitionBy("_s").orderBy(id_column)).alias("_p")).where("_p <= _open").select(
-        id_column, F.lit(True).alias("_won"))
-    return marked.join(tied, id_column, "left").withColumn(
-        "is_test", F.coalesce(F.col("_d") < F.col("_edge"), F.lit(False)) | F.col("_won").isNotNull()
-    ).drop("_s", "_d", "_edge", "_open", "_won")
+    # One rule row per class; the last id taken among the rows that share the edge draw completes it.
+    rule = materialise(rule, "split-rule")
+    ties = drawn.join(rule, "_s").where("_d = _edge").select("_s", "_open", F.col(id_column).alias("_last"), F.row_number().over(
+        Window.partitionBy("_s").orderBy(id_column)).alias("_p")).where("_p = _open").select("_s", "_last")
+    rule = materialise(rule.join(ties, "_s", "left").select("_s", "_edge", "_last"), "split-edges")
+    low, same = F.col("_d") < F.col("_edge"), (F.col("_d") == F.col("_edge")) & (F.col(id_column) <= F.col("_last"))
+    return drawn.join(rule, "_s", "left").withColumn("is_test", F.coalesce(low | same, F.lit(False))).drop(
+        "_s", "_d", "_edge", "_last")
 
 
 # --- selection and ranking ---------------------------------------------------------
