@@ -30,12 +30,16 @@ BITS, SEED = 64, 42
 _AT_ONCE = 1 << 15
 
 
-def sketch(text: str, words: int, seeds: list[int]) -> list[int]:
-    """Unsigned 64-bit SimHashes, one a seed, of the lower-cased (A-Z) word shingles; 0 for a text without words."""
+def sketch(text: str, words: int, seeds: list[int], once: bool = False) -> list[int]:
+    """Unsigned 64-bit SimHashes, one a seed, of the lower-cased (A-Z) word shingles; 0 for a text without words.
+
+    Repeated shingles count as often as they stand in the text, or ``once``.
+    """
     w = text.encode("utf-8").lower().split()
     if not w:
         return [0] * len(seeds)
     rows = [b" ".join(t) for t in zip(*(w[i:] for i in range(words)))] if len(w) > words else [b" ".join(w)]
+    rows = list(set(rows)) if once else rows
     ones, digest = np.zeros((len(seeds), BITS), np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(rows), _AT_ONCE):
         part = rows[at:at + _AT_ONCE]
@@ -163,21 +167,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 # Hash seeds of a long sketch: its first words are indexed, all of them are compared.
-SKETCH_SEEDS, INDEXED, LOOSE = [42, 43, 44, 45], 2, 12
+SKETCH_SEEDS, INDEXED, LOOSE = [42, 43, 44, 45], 2, 15
 
 
 def most_bits(similarity: float, bits: int = BITS * len(SKETCH_SEEDS)) -> int:
-    """Differing bits to expect of two sets with that Jaccard similarity: the angle between them, as a share of the bits."""
-    return round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
+    """Differing bits of two sets with that Jaccard similarity: the angle between them as a share of the bits, and three deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
 def sketches(docs: DataFrame, key_col: str, text_col: str, words: int) -> DataFrame:
-    """``(key_col, s0 .. s3)``."""
+    """``(key_col, s0 .. s3)``, of the sets of shingles: the angle between two sketches then follows their Jaccard similarity."""
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
             texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
-            table = np.array([sketch(t, words, SKETCH_SEEDS) for t in texts], np.uint64).reshape(-1, len(SKETCH_SEEDS))
+            table = np.array([sketch(t, words, SKETCH_SEEDS, True) for t in texts], np.uint64).reshape(-1, len(SKETCH_SEEDS))
             return {f"s{k}": pa.array(table[:, k].copy().view(np.int64)) for k in range(len(SKETCH_SEEDS))}
         return work
 
@@ -193,12 +198,50 @@ def _slots(nodes: DataFrame, *keep: str) -> DataFrame:
     return nodes.select(*keep, F.explode(F.array(*parts)).alias("x")).select(*keep, "x.*")
 
 
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the lower-cased (A-Z) word shingles; empty for a text without words."""
+    w = text.encode("utf-8").lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    rows = {b" ".join(t) for t in zip(*(w[i:] for i in range(words)))} if len(w) > words else {b" ".join(w)}
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in rows), np.uint64, len(rows)))
+
+
+def really_similar(edges: DataFrame, docs: DataFrame, key_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The edges ``(a, b)`` between keys whose shingle sets have that Jaccard similarity; sets are made for these rows only."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
+            return {"__set": pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())}
+        return work
+
+    def check(batches):
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            sets = [[np.frombuffer(s, np.uint64) for s in batch.column(i).to_pylist()] for i in (2, 3)]
+            fine = []
+            for i, (x, y) in enumerate(zip(*sets)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                whole = len(x) + len(y) - both
+                if not whole or both >= similarity * whole:
+                    fine.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in fine], pa.int64()) for c in (a, b)], names=["a", "b"])
+
+    ends = edges.select(F.col("a").alias(key_col)).union(edges.select("b")).distinct()
+    sets = append_columns(docs.select(key_col, text_col).join(ends, key_col, "left_semi"), make,
+                          [T.StructField("__set", T.BinaryType())]).drop(text_col)
+    sets = materialise(sets, "shingle-sets")
+    left, right = (sets.select(F.col(key_col).alias(c), F.col("__set").alias(f"__{c}")) for c in "ab")
+    return edges.join(left, "a").join(right, "b").select("a", "b", "__a", "__b").mapInArrow(check, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, key_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``(key_col, root)``: the smallest key among the row's near duplicates at about ``similarity`` of their shingle sets.
+    """``(key_col, root)``: the smallest key among the row's near duplicates at ``similarity`` or more of their shingle sets.
 
     Rows are compared by sketches of 256 bits. Two of its 64-bit words are indexed by 16-bit segments; a lookup asks for
     the ball of one bit around each, so every pair within 7 bits of one of these words is met for certain, and a pair at a
-    similarity of 0.8 in nine cases of ten; then the complete distances decide. Before that, every text is held against the most
+    similarity of 0.8 in nine cases of ten; then the complete distances, and last the shingle sets themselves, decide. Before that, every text is held against the most
     frequent text of each of its segment values, which takes groups of near copies together in linear work; only one
     text of each group goes on to the lookups. Unique keys are needed. Links are transitive; texts without
     words are near duplicates of each other; null texts count as such; an empty table gives an empty result.
@@ -215,6 +258,7 @@ def similar_groups(docs: DataFrame, key_col: str, text_col: str = "text", words:
         "slot", (-F.col("p.last")).alias("other"), *[F.col(f"p.{w}").alias(f"p{w}") for w in all_words])
     led = materialise(table.join(leader, "slot").filter((F.col("node") != F.col("other")) & (apart("", "p") <= most))
                       .select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "sketch-led")
+    led = materialise(really_similar(led, docs, key_col, text_col, words, similarity), "similar-led")
     group = nodes.join(components(led), "node", "left").withColumn("root", F.coalesce("root", "node"))
     chosen = group.groupBy("root").agg(F.max(F.struct("n", (-F.col("node")).alias("last"), *all_words)).alias("p")).select(
         (-F.col("p.last")).alias("node"), *[f"p.{w}" for w in all_words])
@@ -228,6 +272,7 @@ def similar_groups(docs: DataFrame, key_col: str, text_col: str = "text", words:
     other = chosen.select(F.col("node").alias("other"), *[F.col(w).alias(f"o{w}") for w in all_words])
     met = near.join(chosen, "node").join(other, "other").filter(apart("", "o") <= most).select(
         F.col("node").alias("a"), F.col("other").alias("b"))
-    root = materialise(components(led.unionByName(met)), "sketch-roots")
+    met = really_similar(materialise(met, "sketch-met"), docs, key_col, text_col, words, similarity)
+    root = materialise(components(materialise(led.unionByName(met), "similar-links")), "sketch-roots")
     named = nodes.join(root, "node", "left").select(*all_words, F.coalesce("root", "node").alias("root"))
     return marked.join(named, all_words).select(key_col, "root")

@@ -70,6 +70,38 @@ def test_near_duplicate_stage(spark, docs, rows):
     assert cp.without_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_groups_are_those_of_all_pairs(spark):
+    """Families of edited copies, short and long ones: the same groups as comparing all shingle sets."""
+    rng, texts = random.Random(9), []
+    for family in range(25):
+        w = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(rng.choice([3, 8, 40, 150, 400]))]
+        texts.append(" ".join(w))
+        for _ in range(rng.randrange(8)):
+            v = list(w)
+            for _ in range(rng.randrange(1, max(2, len(w) // 20))):
+                v[rng.randrange(len(v))] = "edit"
+            texts.append(" ".join(v))
+    texts += ["", "", " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(4)
+    got = {r.k: r.root for r in simhash.similar_groups(docs, "k").collect()}
+    sets, parent = [shingles(t) if t.strip() else set() for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            whole = len(sets[i] | sets[j])
+            if not whole or len(sets[i] & sets[j]) / whole >= 0.8:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    want = {i: root(i) for i in range(len(texts))}
+    assert all(want[i] == want[r] for i, r in got.items())  # nothing is joined that should not be
+    assert sum(want[i] == r for i, r in got.items()) >= 0.97 * len(texts)
+
+
 def test_sketch_distance_follows_similarity():
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(800)]
