@@ -11,7 +11,7 @@ become Zipf weights) and are re-estimated on the training documents by expected
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,16 +153,16 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def _block_words(table: pa.Table) -> tuple[list[Counter], Counter, Counter]:
-    """Word counts of each row, of all rows, and of the training rows."""
-    each, every, known = [], Counter(), Counter()
-    for text, train in zip(table.column("text").to_pylist(), table.column("train").to_pylist()):
-        words = Counter(words_of(text or ""))
-        each.append(words)
-        every.update(words)
-        if train:
-            known.update(words)
-    return each, every, known
+def _block_words(table: pa.Table) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
+    """The words of each row as numbers in order of appearance; the block's distinct words, sorted; their numbers."""
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    each = []
+    for text in table.column("text").to_pylist():
+        words = words_of(text or "")
+        each.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+    words = sorted(numbers)
+    return each, words, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
 
 
 def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2,
@@ -187,11 +187,12 @@ def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", te
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long"))
 
     def distinct(group: tuple, table: pa.Table) -> pa.Table:
-        _, every, known = _block_words(table)
-        words = sorted(every)
+        each, words, numbers = _block_words(table)
+        train = [ids for ids, t in zip(each, table.column("train").to_pylist()) if t]
+        uses = np.bincount(np.concatenate([np.empty(0, np.int32), *train]), minlength=len(words))[numbers]
         return pa.table({"block": pa.array([group[0].as_py()] * len(words), pa.int64()),
                          "number": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.binary()),
-                         "n": pa.array([known[w] for w in words], pa.int64())})
+                         "n": pa.array(uses, pa.int64())})
 
     sent = blocked.groupBy("block").applyInArrow(distinct, "block long, number int, word binary, n long")
     # A word has one row per block here, however often it occurs.
@@ -224,21 +225,18 @@ def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", te
     end_logp = float(logp[-1])
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        each, every, _ = _block_words(table)
-        order = found.column("number").to_numpy()
+        each, _, numbers = _block_words(table)
+        order = numbers[found.column("number").to_numpy()]
         c, lp = np.empty(len(order), np.int64), np.empty(len(order))
         c[order], lp[order] = found.column("c").to_numpy(), found.column("logp").to_numpy()
-        place = {w: i for i, w in enumerate(sorted(every))}
         base = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))
         base_end = np.log10((ends + 0.5) / (tokens + 0.5 * (kinds + 1)))
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for words in each:
-            at = np.fromiter((place[w] for w in words), np.int64, len(words))
-            n = np.fromiter(words.values(), np.int64, len(words))
-            out["n_tokens"].append(int(n.sum()) + 1)
-            out["n_known"].append(int(n[c[at] > 0].sum()) + (ends > 0))
-            out["base_score"].append(float(n @ base[at] + base_end))
-            out["score"].append(float((n @ lp[at] + end_logp) / np.log(10)))
+        for ids in each:
+            out["n_tokens"].append(len(ids) + 1)
+            out["n_known"].append(int(np.count_nonzero(c[ids])) + (ends > 0))
+            out["base_score"].append(float(base[ids].sum() + base_end))
+            out["score"].append(float((lp[ids].sum() + end_logp) / np.log(10)))
         return pa.table({"id": table.column("id"), "held_out": pa.array([not t for t in table.column("train").to_pylist()], pa.bool_()),
                          "n_tokens": pa.array(out["n_tokens"], pa.int64()), "n_known": pa.array(out["n_known"], pa.int64()),
                          "train_tokens": pa.array([tokens] * len(each), pa.int64()),

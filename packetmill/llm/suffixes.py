@@ -12,7 +12,6 @@ from the ones before. Both, and the owners of the suffixes, are files that each
 
 from __future__ import annotations
 
-import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
