@@ -168,6 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Hash seeds of a long sketch: its first words are indexed, all of them are compared.
 SKETCH_SEEDS, INDEXED, LOOSE = [42, 43, 44, 45], 2, 15
+# Texts at one segment value from which further leaders are asked for, leaders a round, and texts of one group there
+# from which its own lookups pass it over.
+CROWD, LEADERS, MANY = 64, 4, 16
 
 
 def most_bits(similarity: float, bits: int = BITS * len(SKETCH_SEEDS)) -> int:
@@ -240,10 +243,12 @@ def similar_groups(docs: DataFrame, key_col: str, text_col: str = "text", words:
     """``(key_col, root)``: the smallest key among the row's near duplicates at ``similarity`` or more of their shingle sets.
 
     Rows are compared by sketches of 256 bits. Two of its 64-bit words are indexed by 16-bit segments; a lookup asks for
-    the ball of one bit around each, so every pair within 7 bits of one of these words is met for certain, and a pair at a
-    similarity of 0.8 in nine cases of ten; then the complete distances, and last the shingle sets themselves, decide. Before that, every text is held against the most
-    frequent text of each of its segment values, which takes groups of near copies together in linear work; only one
-    text of each group goes on to the lookups. Unique keys are needed. Links are transitive; texts without
+    the ball of one bit around each, so every pair of texts within 7 bits of one of these words is met for certain, and a pair
+    at a similarity of 0.8 in nine cases of ten; then the complete distances, and last the shingle sets themselves, decide.
+    Every different text is indexed and asks; only pairs that earlier links have joined already are left out (see
+    ``_met``). Before that, every text is held against the most frequent text of each of its segment values, and
+    where a segment value is crowded with several groups against further ones, which takes groups of near copies
+    together in linear work. Unique keys are needed. Links are transitive; texts without
     words are near duplicates of each other; null texts count as such; an empty table gives an empty result.
     """
     most, all_words = most_bits(similarity), [f"s{k}" for k in range(len(SKETCH_SEEDS))]
@@ -253,26 +258,68 @@ def similar_groups(docs: DataFrame, key_col: str, text_col: str = "text", words:
     def apart(a, b):
         return sum((F.bit_count(F.col(f"{a}s{k}").bitwiseXOR(F.col(f"{b}s{k}"))) for k in range(len(SKETCH_SEEDS))), F.lit(0))
 
+    def linked(edges: DataFrame, name: str) -> DataFrame:
+        edges = materialise(edges.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), f"sketch-{name}")
+        return materialise(really_similar(edges, docs, key_col, text_col, words, similarity), f"similar-{name}")
+
+    def grouped(found: DataFrame) -> DataFrame:
+        return materialise(nodes.join(components(found), "node", "left").select(
+            "node", F.coalesce("root", "node").alias("root"), *all_words), "sketch-groups")
+
     table = _slots(nodes, "node", "n", *all_words)
     leader = table.groupBy("slot").agg(F.max(F.struct("n", (-F.col("node")).alias("last"), *all_words)).alias("p")).select(
         "slot", (-F.col("p.last")).alias("other"), *[F.col(f"p.{w}").alias(f"p{w}") for w in all_words])
-    led = materialise(table.join(leader, "slot").filter((F.col("node") != F.col("other")) & (apart("", "p") <= most))
-                      .select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "sketch-led")
-    led = materialise(really_similar(led, docs, key_col, text_col, words, similarity), "similar-led")
-    group = nodes.join(components(led), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    chosen = group.groupBy("root").agg(F.max(F.struct("n", (-F.col("node")).alias("last"), *all_words)).alias("p")).select(
-        (-F.col("p.last")).alias("node"), *[f"p.{w}" for w in all_words])
-    chosen = materialise(chosen, "sketch-chosen")
-    index = _slots(chosen, "node").select("slot", F.col("node").alias("other"), F.col("word").alias("oword"))
-    asked = _slots(chosen, "node").select("slot", "node", "word", F.explode(_masks(16, 1)).alias("mask")).select(
-        F.col("slot").bitwiseXOR(F.col("mask")).alias("slot"), "node", "word")
-    near = materialise(asked.join(index.hint("shuffle_hash"), "slot").filter(
-        (F.col("node") < F.col("other")) & (F.bit_count(F.col("word").bitwiseXOR(F.col("oword"))) <= LOOSE))
-        .select("node", "other").distinct(), "sketch-near")
-    other = chosen.select(F.col("node").alias("other"), *[F.col(w).alias(f"o{w}") for w in all_words])
-    met = near.join(chosen, "node").join(other, "other").filter(apart("", "o") <= most).select(
-        F.col("node").alias("a"), F.col("other").alias("b"))
-    met = really_similar(materialise(met, "sketch-met"), docs, key_col, text_col, words, similarity)
-    root = materialise(components(materialise(led.unionByName(met), "similar-links")), "sketch-roots")
+    found = linked(table.join(leader, "slot").filter((F.col("node") != F.col("other")) & (apart("", "p") <= most)), "led")
+    group, number = grouped(found), 0
+    while True:
+        table = _slots(group, "node", "root", *all_words)
+        crowded = materialise(table.groupBy("slot").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("mixed"))
+                              .filter((F.col("n") > CROWD) & F.col("mixed")).select("slot"), "sketch-crowded")
+        members = table.join(crowded, "slot")
+        before = members.select("root").distinct().count()
+        if not before:
+            break
+        # Leaders by the hash of node and number: others in each round, and most of them from the largest groups.
+        leaders = members.groupBy("slot").agg(F.array(*[
+            F.max(F.struct(F.xxhash64("node", F.lit(number + i)), F.col("node").alias("other"), F.col("root").alias("proot"),
+                           *[F.col(w).alias(f"p{w}") for w in all_words])) for i in range(LEADERS)]).alias("p"))
+        leaders = materialise(leaders.select("slot", F.explode("p").alias("p")).select(
+            "slot", "p.other", "p.proot", *[f"p.p{w}" for w in all_words]), "sketch-leaders")
+        found = found.unionByName(linked(members.join(leaders, "slot").filter(
+            (F.col("root") != F.col("proot")) & (apart("", "p") <= most)), "led"))
+        joined, group, number = group, grouped(found), number + LEADERS
+        less = joined.select("root").distinct().count() - group.select("root").distinct().count()
+        if less * 20 <= before:  # the lookups are complete without a further round
+            break
+    near = materialise(_met(group), "sketch-near")
+    other = group.select(F.col("node").alias("other"), *[F.col(w).alias(f"o{w}") for w in all_words])
+    met = linked(near.join(group, "node").join(other, "other").filter(apart("", "o") <= most), "met")
+    root = materialise(components(materialise(found.unionByName(met), "similar-links")), "sketch-roots")
     named = nodes.join(root, "node", "left").select(*all_words, F.coalesce("root", "node").alias("root"))
     return marked.join(named, all_words).select(key_col, "root")
+
+
+def _met(group: DataFrame) -> DataFrame:
+    """Pairs ``(node, other)`` of different roots whose indexed words lie within ``LOOSE`` bits, met through a ball of one bit.
+
+    Where one root has many nodes at a segment value, its own nodes ask for the other roots' nodes there only, so the pairs
+    inside of a large group are never looked at; nodes of other roots ask for all.
+    """
+    index = _slots(group, "node", "root").select("slot", F.col("node").alias("other"), F.col("root").alias("oroot"),
+                                                 F.col("word").alias("oword"))
+    big = index.groupBy("slot", "oroot").count().groupBy("slot").agg(
+        F.max(F.struct("count", "oroot")).alias("p"), F.sum("count").alias("all")).filter(F.col("p.count") > MANY)
+    big = materialise(big.select("slot", F.col("p.oroot").alias("big"), (F.col("all") - F.col("p.count")).alias("rest")), "sketch-big")
+    asked = _slots(group, "node", "root").select("slot", "node", "root", "word", F.explode(_masks(16, 1)).alias("mask")).select(
+        F.col("slot").bitwiseXOR(F.col("mask")).alias("slot"), "node", "root", "word").join(big, "slot", "left")
+    index = index.join(big.drop("rest"), "slot", "left")
+    of_big = F.coalesce(F.col("oroot") == F.col("big"), F.lit(False))
+    foreign = F.coalesce(F.col("root") != F.col("big"), F.lit(True))
+
+    def pairs(asks: DataFrame, held: DataFrame) -> DataFrame:
+        fits = (F.col("node") < F.col("other")) & (F.col("root") != F.col("oroot")) & (
+            F.bit_count(F.col("word").bitwiseXOR(F.col("oword"))) <= LOOSE)
+        return asks.drop("big", "rest").join(held.drop("big").hint("shuffle_hash"), "slot").filter(fits).select("node", "other")
+
+    return pairs(asked.filter(foreign | (F.col("rest") > 0)), index.filter(~of_big)).unionByName(
+        pairs(asked.filter(F.col("big").isNotNull() & foreign), index.filter(of_big))).distinct()

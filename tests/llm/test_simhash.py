@@ -89,3 +89,52 @@ def test_components(spark, frame, odd):
     want = sorted((str(i), str(least.get(root[simhash.fingerprint(t or "")]))) for i, t in rows)
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == want
     assert simhash.near_duplicates(frame(rows).limit(0)).count() == 0
+
+
+def met_groups(texts, similarity=0.8):
+    """Roots over all pairs of texts that the balls meet, that the distances allow and whose sets are similar."""
+    seeds, sets = simhash.SKETCH_SEEDS, [set(simhash.shingle_set(t, 5).tolist()) for t in texts]
+    marks = [simhash.sketch(t, 5, seeds, True) for t in texts]
+    most, root = simhash.most_bits(similarity), list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = [(x ^ y) for x, y in zip(marks[i], marks[j])]
+            met = any(((d >> 16 * s) & 0xFFFF).bit_count() <= 1 and d.bit_count() <= simhash.LOOSE
+                      for d in apart[:simhash.INDEXED] for s in range(4))
+            if met and sum(d.bit_count() for d in apart) <= most and (
+                    len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return [top(i) for i in range(len(texts))]
+
+
+def changed(rng, text, n):
+    w = text.split()
+    for at in rng.sample(range(len(w)), n):
+        w[at] = f"new{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def test_links_of_absorbed_texts(frame, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWD", 8, raising=False)
+    monkeypatch.setattr(simhash, "MANY", 2, raising=False)
+    rng, texts = random.Random(11), []
+    for _ in range(8):  # a frequent leader, a text like it, and one like the second only
+        lead = " ".join(f"w{rng.randrange(10**6)}" for _ in range(300))
+        member = changed(rng, lead, 4)
+        texts += [lead, lead, lead, member, changed(rng, member, 4)]
+    for _ in range(4):  # versions, each near the one before
+        texts.append(" ".join(f"v{rng.randrange(10**6)}" for _ in range(300)))
+        for _ in range(12):
+            texts.append(changed(rng, texts[-1], 3))
+    base = " ".join(f"b{rng.randrange(10**6)}" for _ in range(300))
+    texts += [changed(rng, base, 5) for _ in range(120)]  # a drifting group without its middle
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.root for r in simhash.similar_groups(frame(rows), "doc_id").collect()}
+    assert [got[i] for i in range(len(texts))] == met_groups(texts)
