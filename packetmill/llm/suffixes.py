@@ -255,6 +255,20 @@ def covered(starts: np.ndarray, counts: np.ndarray, span: int) -> tuple[np.ndarr
     return begin[new], end[np.append(new[1:], len(begin)) - 1] if len(begin) else end
 
 
+def window_hashes(segment: bytes, span: int) -> np.ndarray:
+    """The hash of every ``span``-byte window of a segment."""
+    sums, n = _sums(np.frombuffer(segment, np.uint8)), len(segment) - span + 1
+    return _mixed((sums[span:] - sums[:n]) * _inverses(n))
+
+
+def in_buckets(asked: DataFrame, bucket_segments: int) -> DataFrame:
+    """Segments with the ``bucket`` that sorts them, by anchor; -1 for an anchor with more than ``bucket_segments`` segments."""
+    heavy = materialise(asked.groupBy("m").count().filter(F.col("count") > bucket_segments).select("m", F.lit(-1).alias("heavy")), "repeat-heavy")
+    marked = asked.join(heavy, "m", "left")
+    groups = max(1, -(-marked.filter("heavy is null").count() // bucket_segments))
+    return marked.withColumn("bucket", F.coalesce(F.col("heavy").cast("long"), F.pmod(F.xxhash64("m"), F.lit(groups)))).drop("heavy")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM,
                    bucket_bytes: int = 4 << 20, bucket_segments: int = 8192) -> DataFrame:
     """Remove each byte covered by a ``span``-byte string that also starts earlier.
@@ -266,8 +280,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Runs leave a task packed by bucket of their anchor, and only the first of equal segments does, so a text that
     a third of all documents hold costs a row per task. Only segments that share an anchor with a
-    different segment are fetched and sorted. Their number for one anchor is that of different texts around one
-    ``gram``-byte string.
+    different segment are fetched and sorted. An anchor with more than ``bucket_segments`` of them (one string with as many
+    different surroundings) is not sorted in one task: its windows are told apart by the hash of their bytes.
     """
     rows = with_key(docs.select(id_col, text_col), id_col, tie=text_col).select(
         "__key", F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -321,9 +335,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = rows.select("__key", "text").mapInArrow(gather, "bucket long, kind int, runs binary")
     runs = materialise(dealt.groupBy("bucket").applyInArrow(match, "kind int, m long, key long, a long, w int"), "repeat-runs")
     asked = runs.filter("kind = 0")
-    groups = max(1, -(-asked.count() // bucket_segments))
-    wanted = (asked.withColumn("bucket", F.pmod(F.xxhash64("m"), F.lit(groups))).groupBy(F.col("key").alias("__key"))
-              .agg(F.collect_list(F.struct("bucket", "a", "w")).alias("pieces")))
+    asked = materialise(in_buckets(asked, bucket_segments), "repeat-asked")
+
+    def wanted(chosen: DataFrame) -> DataFrame:
+        return chosen.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("bucket", "m", "a", "w")).alias("pieces"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,6 +353,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int64()), pa.array(out["key"], pa.int64()),
                                               pa.array(out["a"], pa.int64()), pa.array(out["segment"], pa.binary())], names=list(out))
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The single windows of segments, by the hash of their bytes."""
+        for batch in batches:
+            for key, text, pieces in zip(*(c.to_pylist() for c in batch.columns)):
+                raw, m, h, a = text.encode("utf-8"), [], [], []
+                for p in pieces:
+                    h.append(window_hashes(raw[p["a"]:p["a"] + p["w"] - 1 + span], span))
+                    m.append(np.full(p["w"], p["m"], np.int64))
+                    a.append(np.arange(p["a"], p["a"] + p["w"], dtype=np.int64))
+                a = np.concatenate(a)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(m)), pa.array(np.concatenate(h).view(np.int64)),
+                                                  pa.array(np.full(len(a), key, np.int64)), pa.array(a)], names=["m", "h", "key", "a"])
+
     def sort(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("a", "ascending")])
         with tempfile.TemporaryDirectory() as folder:  # for this task alone, gone when it ends
@@ -347,10 +375,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"key": pa.array(k, pa.int64()), "a": pa.array(a, pa.int64()), "w": pa.array(w, pa.int32())})
 
     with batch_rows(docs.sparkSession, 64):
-        pieces = rows.select("__key", "text").join(wanted, "__key").mapInArrow(
+        pieces = rows.select("__key", "text").join(wanted(asked.filter("bucket >= 0")), "__key").mapInArrow(
             cut, "bucket long, key long, a long, segment binary")
         partial = materialise(pieces.groupBy("bucket").applyInArrow(sort, "key long, a long, w int"), "repeat-parts")
-    gone = runs.filter("kind = 1").select("key", "a", "w").unionByName(partial)
+        single = materialise(rows.select("__key", "text").join(wanted(asked.filter("bucket < 0")), "__key").mapInArrow(
+            split, "m long, h long, key long, a long"), "repeat-windows")
+    # Equal windows of one anchor: all but the first go. The first is an aggregate, so the most frequent window is combined early.
+    least = single.groupBy("m", "h").agg(F.min(F.struct("key", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = single.join(least, ["m", "h"]).filter(F.struct("key", "a") != F.col("first")).select("key", "a", F.lit(1).alias("w"))
+    gone = runs.filter("kind = 1").select("key", "a", "w").unionByName(partial).unionByName(again)
     by_row = gone.groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("a", "w")).alias("gone"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

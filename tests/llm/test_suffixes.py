@@ -91,3 +91,22 @@ def test_odd_rows(frame, odd):
     check(frame, rows)
     assert len(suffixes.remove_repeats(frame(odd)).collect()) == len(odd)
     assert suffixes.remove_repeats(frame(odd).limit(0)).count() == 0
+
+
+def test_one_passage_in_many_surroundings(frame, spark, monkeypatch):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(130)
+    rows = [(i, word(rng.randrange(90)) + passage + word(rng.randrange(90))) for i in range(90)]
+    sizes, written = [], suffixes.materialise
+
+    def kept(df, name):
+        out = written(df, name)
+        if name == "repeat-asked":
+            sizes.extend(out.filter("bucket >= 0").groupBy("bucket", "m").count().collect())
+            sizes.append(out.filter("bucket < 0").count())
+        return out
+
+    monkeypatch.setattr(suffixes, "materialise", kept)
+    check(frame, rows, bucket_segments=20)
+    assert sizes and sizes.pop() > 60 and all(r["count"] <= 20 for r in sizes)
