@@ -68,3 +68,16 @@ def test_against_one_pass(frame, odd):
     check(frame, odd, 50_000)
     check(frame, [(5, "alone " * 50)], 100)
     assert winnowing.compare_with_next(frame(rows).limit(0)).count() == 0
+
+
+def test_likeness_of_short_texts():
+    rng = random.Random(9)
+    off = []
+    for _ in range(400):
+        text, after = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (rng.randrange(34, 100), 100))
+        new = winnowing.edited(text, after)
+        a, b = winnowing.winnow(text)[0], winnowing.winnow(new)[0]
+        grams = [{t[i:i + winnowing.GRAM] for i in range(len(t) - winnowing.GRAM + 1)} for t in (text, new)]
+        assert 0 < winnowing.likeness(a, b)
+        off.append(winnowing.likeness(a, b) - len(grams[0] & grams[1]) / len(grams[0] | grams[1]))
+    assert abs(np.mean(off)) < 0.05 and np.mean(np.abs(off)) < 0.15
