@@ -13,8 +13,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetmill.llm import langid, lattice, mixing, pieces, pii, quality, simhash, suffixes, token_store, winnowing
-from packetmill.llm.common import documents, pick
+from packetmill.llm import (
+    embeddings, langid, lattice, mixing, periodic, pieces, pii, quality, simhash, suffixes, target_sampling, token_store, winnowing,
+)
+from packetmill.llm.common import documents, pick, tuned
 from packetmill.session import scratch_path
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -122,6 +124,29 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label at a cosine of 0.98 or more: links, groups and the vector that stands for each group."""
+    return embeddings.near_duplicates(tuned(spark).read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
+def op12_target_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn by their likeness to the benchmark's texts."""
+    target = tuned(spark).read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return target_sampling.resample(pick(documents(spark, sf_dir), "doc_id", "text"), pick(target, "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods or more in every text, a tenth of the texts with periodic tails."""
+    docs = periodic.repeat_tail(pick(documents(spark, sf_dir), "doc_id", "text"))
+    found = periodic.with_runs(docs).withColumn("best", periodic.strongest("runs"))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_piece_encoding": (op1_piece_encoding, None),
     "op2_quality_rules": (op2_quality_rules, quality.SQL),
@@ -133,4 +158,7 @@ QUERIES = {
     "op8_winnowing": (op8_winnowing, None),
     "op9_personal_data": (op9_personal_data, None),
     "op10_simhash_groups": (op10_simhash_groups, None),
+    "op11_embedding_groups": (op11_embedding_groups, embeddings.SQL),
+    "op12_target_sample": (op12_target_sample, target_sampling.SQL),
+    "op13_periodic_runs": (op13_periodic_runs, None),
 }
