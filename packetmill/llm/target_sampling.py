@@ -49,7 +49,13 @@ def hashed_features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray
 
 
 def _hashed(texts: pa.Array, buckets: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, texts.cast(pa.binary()).to_pylist()), np.int64, len(texts)) % buckets
+    """Bucket of each text; their bytes are sliced from the column's one buffer, which is far cheaper than a list of texts."""
+    if not len(texts):
+        return np.empty(0, np.int64)
+    _, offsets, data = texts.cast(pa.binary()).buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset:texts.offset + len(texts) + 1].tolist()
+    data = data.to_pybytes()
+    return np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:])), np.int64, len(texts)) % buckets
 
 
 def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
