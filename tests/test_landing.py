@@ -73,3 +73,68 @@ def test_contract_and_sinks(spark, tmp_path):
     sinks.clear(table, str(tmp_path / "empty"))
     assert spark.read.parquet(str(tmp_path / "empty")).count() == 0
     assert sinks.json_line(spark.createDataFrame([(1, None)], "b int, a string")).first().value == '{"a":null,"b":1}'
+
+
+def plain_elements(text):
+    """Elements of arrays over several lines, character by character."""
+    out, now, depth, inside, escaped = [], "", 0, False, False
+    for c in text:
+        if inside and c != "\n":
+            inside, escaped = escaped or c != '"', c == "\\" and not escaped
+            now += c
+            continue
+        inside, escaped = c == '"', False
+        if c in "]}":
+            depth -= 1
+        if (c == "," and depth <= 1) or (c == "]" and depth == 0):
+            out.append(now)
+            now = ""
+        elif not (c == "[" and depth == 0):
+            now += c
+        if c in "[{":
+            depth += 1
+    return [e.strip(" ").strip("\n ") for e in [*out, now] if e.strip()]
+
+
+def test_arrays_over_lines(spark, tmp_path):
+    import json
+    import random
+    rng = random.Random(3)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    expected = {}
+    for k in range(12):
+        made = [rng.choice([{"a": i, "s": "x ] } , \\ \" [", "l": [1, [2, {"b": None}]]}, [i], i, "text, [", None, {}]) for i in range(rng.randrange(1, 60))]
+        text = json.dumps(made, indent=rng.choice([1, 4]))
+        if k % 4 == 1:
+            text = text.replace("2,", "2, oops,", 1)
+        if k % 4 == 2:
+            text = "\n  \n" + text + "\n"
+        if k % 4 == 3:
+            text = "[\n" + ",\n\n".join(json.dumps(m) + " " for m in made) + "\n,\n]"
+        (folder / f"f{k}.json").write_text(text)
+        expected[f"f{k}"] = [" ".join(e.split()) for e in plain_elements(text)]
+    (folder / "lines.json").write_text('{"a":1}\n[1,2]\n{broken\n')
+    expected["lines"] = ['{"a":1}', "[1,2]", "{broken"]
+    for size in ("256", "1g"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = {}
+            for r in landing.read_records(spark, str(folder)).orderBy("file_name", "file_row_number").collect():
+                got.setdefault(r.file_name.rsplit("/")[-1][:-5], []).append((r.file_row_number, " ".join(r.line.split())))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {k: [t for _, t in v] for k, v in got.items()} == expected
+        assert all([n for n, _ in v] == list(range(1, len(v) + 1)) for v in got.values())
+
+
+def test_array_elements_carry_over_blocks_and_long_ones_are_not_gathered(spark):
+    text = ["[", *[x for i in range(50) for x in ("{", f'"n": {i}', "},")], '{"never": [1,', *['"closed",'] * 200]
+    lines = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(text)], "file_name string, file_row_number long, line string")
+    for block in (7, 1 << 16):
+        got = landing.array_elements(lines, longest=500, block_lines=block).orderBy("file_row_number").collect()
+        assert [r.file_row_number for r in got] == list(range(1, 52)) and got[-1].line is None
+        landed = landing.land(spark.createDataFrame(got)).orderBy("file_row_number")
+        values = [r.n for r in landed.select(F.try_variant_get("record_content", "$.n", "long").alias("n")).collect()]
+        assert values == [*range(50), None]
+    assert landing.array_elements(lines.where("false")).count() == 0
