@@ -81,3 +81,50 @@ def test_scoring_then_dispatch(spark, tmp_path):
     got = spark.read.parquet(blocks + "/decisions").groupBy("src_ip").agg(
         F.sort_array(F.collect_list("status")).alias("s"), F.max("rule_number").alias("n")).collect()
     assert {r.src_ip: (r.s, r.n) for r in got} == {"1.1.1.1": (["ACTIONED", "SUPPRESSED"], 100), "3.3.3.3": (["ACTIONED"], 101)}
+
+
+def deliver(folder, files):
+    folder.mkdir(exist_ok=True)
+    for name, text in files.items():
+        (folder / name).write_text(text)
+
+
+def test_a_file_is_loaded_once_across_a_restart(spark, tmp_path):
+    from packetmill.sources import landing
+    out, days = str(tmp_path / "out"), {"at": "2024-01-01"}
+    first = {f"f{i}.json": f'{{"n":{i}}}\n' * (i + 1) for i in range(6)}
+
+    def load(folder, checkpoint):
+        stream = landing.stream_files(spark, str(folder), max_files_per_trigger=20)
+        jobs.start(jobs.load_files(stream, out, str(tmp_path / checkpoint), lambda _: F.lit(days["at"]).cast("timestamp"))).awaitTermination()
+        return spark.read.parquet(f"{out}/records").count(), spark.read.parquet(f"{out}/files").count()
+
+    deliver(tmp_path / "in", first)
+    assert load(tmp_path / "in", "a") == (21, 6)
+    assert load(tmp_path / "in", "a") == (21, 6)  # the stream remembers its files
+    assert load(tmp_path / "in", "b") == (21, 6)  # the record remembers them for a stream that has forgotten
+    deliver(tmp_path / "in", {"g.json": '[\n{"n": 1},\n{"n":\n2}\n]\n', "empty.json": ""})
+    assert load(tmp_path / "in", "b") == (23, 7)
+    (tmp_path / "again").mkdir()
+    deliver(tmp_path / "again" / "in", {**first, "f0.json": '{"n":7}\n{"n":8}\n'})  # one has another size
+    assert load(tmp_path / "again" / "in", "c") == (25, 8)
+    days["at"] = "2024-01-15"
+    assert load(tmp_path / "in", "d") == (25, 8)
+    days["at"] = "2024-01-16"
+    assert load(tmp_path / "in", "e")[0] > 25  # forgotten after two weeks
+
+
+def test_a_batch_run_again_keeps_its_files(spark, tmp_path):
+    """The record of a failed batch must not hide the files from its second run."""
+    import shutil
+    from packetmill.sources import landing
+    deliver(tmp_path / "in", {"f.json": '{"n":1}\n', "g.json": '{"n":2}\n'})
+
+    def load():
+        stream = landing.stream_files(spark, str(tmp_path / "in"))
+        jobs.start(jobs.load_files(stream, str(tmp_path / "out"), str(tmp_path / "cp"), lambda _: F.lit("2024-01-01").cast("timestamp"))).awaitTermination()
+
+    load()
+    shutil.rmtree(tmp_path / "cp" / "commits")  # as if the stream had ended before its batch was committed
+    load()
+    assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "out" / "records")).collect()) == ['{"n":1}', '{"n":2}']
