@@ -16,6 +16,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetmill.session import materialise
+
 # One interval is sorted by one task; it should hold about this many distinct values.
 _PER_INTERVAL = 1_000_000
 _MAX_INTERVALS = 4000
@@ -84,3 +86,17 @@ def quantiles(counts: DataFrame, probs: list[float], intervals: int | None = Non
     t, gap = F.col("rank") - F.floor("rank"), F.col("b") - F.col("a")
     value = F.when(t >= 0.5, F.col("b") - gap * (1 - t)).otherwise(F.col("a") + gap * t)
     return pairs.select("feature", "q", value.alias("value"))
+
+
+def running_sum(rows: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` up to and including the row, per ``group`` in ``order``, without a task that sees a whole group.
+
+    Rows are dealt by ranges of group and order and stored; the sums of earlier ranges are carried over a table of one row a
+    range and group. ``order`` must be total.
+    """
+    stored = materialise(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = stored.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(*group, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carried"))
+    inside = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return stored.join(carried, [*group, "_part"]).withColumn(out, F.col("_carried") + F.sum(value).over(inside)).drop("_part", "_carried")

@@ -89,6 +89,19 @@ def correlated_columns(spark, sf):
     return ft.correlated_columns(ft.correlations(_lines(spark, sf), [*LINE, "constant", "twice"]))
 
 
+def _wide(k):
+    """One of 38 numbers of a line, as SQL that both engines read; some are null, by a rhythm of their own."""
+    number = (f"l_quantity * {k * 7 % 11 + 1} + l_extendedprice * {k * 5 % 13} / 1000 + l_discount * {k * 3 % 17} * 10"
+              f" + (l_orderkey * {2 * k + 1}) % {k % 9 + 3}")
+    return f"case when (l_orderkey + l_linenumber) % {k + 3} = 0 then null else cast({number} as double) end"
+
+
+def correlation_wide(spark, sf):
+    """All 703 pairs of 38 columns, with nulls."""
+    rows = A.table(spark, sf, "lineitem").select(*[F.expr(_wide(k)).alias(f"x{k}") for k in range(38)])
+    return ft.correlations(rows, rows.columns).select("a", "b", F.round("abs_r", 6).alias("abs_r"))
+
+
 def scaled(spark, sf):
     cols = [*LINE, "constant"]
     out = ft.standard_scale(_lines(spark, sf), cols)
@@ -155,6 +168,11 @@ def mutual_information(spark, sf):
     return ft.mutual_information(rows, LINE, "l_returnflag").select("feature", F.round("mi_score", 6).alias("mi_score"))
 
 
+def neighbour_information(spark, sf):
+    rows = A.table(spark, sf, "lineitem")
+    return ft.neighbour_information(rows, LINE, "l_returnflag").select("feature", F.round("mi_score", 9).alias("mi_score"))
+
+
 def importances(spark, sf):
     return ft.importances(labelled_flows(spark, sf), NUM, "target")
 
@@ -337,6 +355,35 @@ FIXED_SQL = "with m as (select l_orderkey, l_linenumber, " + ", ".join(
 select l_orderkey, l_linenumber, round(e0 / (e0 + e1 + e2), 9) as p0, round(e1 / (e0 + e1 + e2), 9) as p1,
   round(e2 / (e0 + e1 + e2), 9) as p2 from m"""
 
+_WIDE = "with w as (select " + ", ".join(f"{_wide(k)} as x{k}" for k in range(38)) + " from lineitem), c as (select [" + ", ".join(
+    f"{{'a': 'x{i}', 'b': 'x{j}', 'abs_r': round(abs(corr(x{i}, x{j})), 6)}}" for i in range(38) for j in range(i + 1, 38)) + """] as rows from w),
+u as (select unnest(rows) as r from c) select r.a as a, r.b as b, r.abs_r as abs_r from u"""
+
+
+def _digamma_sql(x):
+    y = f"({x} + 10.0::double)"
+    steps = "".join(f" - 1 / ({x} + {i}.0::double)" for i in range(10))
+    return (f"(ln({y}) - 1 / (2 * {y}) - 1 / (12 * {y} ** 2) + 1 / (120 * {y} ** 4) - 1 / (252 * {y} ** 6) + 1 / (240 * {y} ** 8){steps})")
+
+
+#: Three neighbours: the stretches of four values with a row in them, each with its values before and after the row.
+_NEAR = "with p as (" + " union all ".join(f"""
+  select '{c}' as feature, l_returnflag as y, {c}::double as v, l_orderkey * 10 + l_linenumber as id from lineitem""" for c in LINE) + """),
+s as (select *, count(*) over (partition by feature, y) as n_y, """ + ", ".join(
+    f"lag(v, {j}) over w as b{j}, lead(v, {j}) over w as a{j}" for j in range(1, 4)) + """ from p window w as (partition by feature, y order by v, id)),
+e as (select *, list_min(list_filter([""" + ", ".join(
+    f"{{'r': greatest(v - {'b' + str(j) if j else 'v'}, {'a' + str(3 - j) if j < 3 else 'v'} - v), 'low': {'b' + str(j) if j else 'v'}, "
+    f"'high': {'a' + str(3 - j) if j < 3 else 'v'}}}" for j in range(4)) + """], lambda s: s.low is not null and s.high is not null)) as best from s),
+q as (select feature, n_y, v, best.r as r, best.low as low, best.high as high from e),
+z as (select feature, n_y, v, r, case when v - low = r then low else v - r end as low, case when high - v = r then high else v + r end as high from q),
+d as (select feature, v, sum(count(*)) over (partition by feature order by v) as upto, count(*) as here from p group by feature, v),
+m as (select z.feature, n_y, case when r = 0 then eq.here else coalesce(hi.upto, 0) - coalesce(lo.upto, 0) end::double as m
+  from z join d eq on eq.feature = z.feature and eq.v = z.v
+  asof left join d hi on hi.feature = z.feature and z.high > hi.v
+  asof left join d lo on lo.feature = z.feature and z.low >= lo.v)
+select feature, round(greatest(0, """ + f"{_digamma_sql('count(*)::double')} + avg({_digamma_sql('3.0::double')} - {_digamma_sql('n_y::double')} - {_digamma_sql('m')})" + """), 9)
+  as mi_score from m group by feature"""
+
 QUERIES = {
     "a08_confusion": (confusion, _q(_MX, "select label, prediction, count(*) as n from pr group by 1, 2")),
     "a09_class_metrics": (class_metrics, _q(_MX, """
@@ -350,6 +397,8 @@ QUERIES = {
     "a16_correlation_pairs": (correlation_pairs, _q(_CORR, "select a, b, round(abs_r, 6) as abs_r from cr")),
     "a16_correlated_columns": (correlated_columns, _q(_CORR, """
         select b as "column", count(*) as earlier from cr where abs_r > 0.95 group by 1""")),
+    "a16_correlation_wide": (correlation_wide, _WIDE),
+    "o05_neighbour_information": (neighbour_information, _NEAR),
     "l01_one_hot": (one_hot, _q(f"pk as ({A.duck(A.PACKETS)})", """
         select seq as flow_id, cast(4 + (select count(distinct protocol) from pk) + (select count(distinct dst_port = 80) from pk)
           + (select count(distinct case when flags = '' then 'SF' else flags end) from pk) as int) as width,

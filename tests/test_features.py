@@ -90,3 +90,50 @@ def test_correlation_is_pairwise(spark):
     for pair in (("a", "b"), ("a", "c"), ("b", "c")):
         assert abs(got[pair] - abs(frame[list(pair)].corr().iloc[0, 1])) < 1e-9
     assert got["a", "d"] is None
+
+
+def plain_information(x, y, neighbours=3):
+    """The estimator over all pairs of rows."""
+    def digamma(n):
+        return -np.euler_gamma + sum(1 / i for i in range(1, n))
+
+    keep = np.array([(y == c).sum() > 1 for c in y])
+    x, y = x[keep], y[keep]
+    parts = []
+    for i in range(len(x)):
+        k, others = min(neighbours, (y == y[i]).sum() - 1), [j for j in range(len(x)) if y[j] == y[i] and j != i]
+        last = sorted(others, key=lambda j: abs(x[j] - x[i]))[k - 1]
+        r = abs(x[last] - x[i])
+        m = (x == x[i]).sum() if r == 0 else (np.abs(x - x[i]) < r).sum()
+        parts.append(digamma(int(k)) - digamma(int((y == y[i]).sum())) - digamma(int(m)))
+    return max(0.0, digamma(len(x)) + np.mean(parts))
+
+
+def test_neighbour_information_like_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    y = np.array(["a", "b", "a", "c"])[rng.integers(0, 4, 130)]
+    y[:1], y[1:3] = "alone", "two"
+    columns = {"near": (y == "a") * 2.0 + rng.integers(0, 4096, 130) / 1024, "ties": rng.integers(0, 4, 130).astype(float),
+               "noise": rng.integers(-4096, 4096, 130) / 512, "same": np.ones(130)}  # binary fractions: distances are exact
+    rows = [(str(c), *[float(v[i]) for v in columns.values()]) for i, c in enumerate(y)]
+    table = spark.createDataFrame(rows, "y string, " + ", ".join(f"{c} double" for c in columns))
+    for block in (8, 1 << 16):
+        got = ft.neighbour_information(table.repartition(5), list(columns), "y", block=block).collect()
+        assert {r.feature for r in got} == set(columns) and got[0].feature == "near"
+        for r in got:
+            assert abs(r.mi_score - plain_information(columns[r.feature], y)) < 1e-9
+
+
+def test_correlation_plan_is_small(spark):
+    columns = [f"x{i}" for i in range(38)]
+    rng = np.random.default_rng(9)
+    data = rng.normal(1e6, 1, (200, 38)) + rng.normal(0, 2, (200, 1))
+    rows = [tuple(None if (i * 7 + j) % 11 == 0 else float(v) for j, v in enumerate(r)) for i, r in enumerate(data)]
+    table = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns))
+    found = ft.correlations(table, columns)
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+    got = {(r.a, r.b): r.abs_r for r in found.collect()}
+    expected = table.toPandas().corr().abs()
+    assert len(got) == 703 and all(abs(v - expected.loc[a, b]) < 1e-9 for (a, b), v in got.items())
+    empty = ft.correlations(table.where("false"), columns[:3]).collect()
+    assert [r.abs_r for r in empty] == [None] * 3
