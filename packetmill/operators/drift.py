@@ -164,16 +164,16 @@ def distributions(live: DataFrame, baseline: DataFrame, numeric: list[str], cate
     return reduce(DataFrame.unionByName, parts)
 
 
-def psi(pairs: DataFrame) -> DataFrame:
-    """(feature, psi) from expected and actual weights; zeros become eps, both sides sum to 1."""
-    whole = Window.partitionBy("feature")
+def psi(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(feature, psi), or one per further keys, from expected and actual weights; zeros become eps, both sides sum to 1."""
+    whole = Window.partitionBy(*keys, "feature")
 
     def weight(name):
         w = F.when(F.col(name) <= 0, F.lit(PSI_EPS)).otherwise(F.col(name))
         return w / F.sum(w).over(whole)
 
-    norm = pairs.select("feature", weight("expected").alias("e"), weight("actual").alias("a"))
-    return norm.groupBy("feature").agg(
+    norm = pairs.select(*keys, "feature", weight("expected").alias("e"), weight("actual").alias("a"))
+    return norm.groupBy(*keys, "feature").agg(
         F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
 
 
@@ -189,15 +189,19 @@ def feature_psi(live: DataFrame, baseline: DataFrame, numeric: list[str], catego
 def drift_report(scores: DataFrame, window: DataFrame, check_ts: Column,
                  threshold: float = PSI_THRESHOLD) -> DataFrame:
     """One report row from (feature, psi) and a one-row (window_start, window_end)."""
-    rounded = scores.withColumn("shown", F.bround("psi", 6))
-    drifted = F.when(F.col("psi") > threshold, F.struct(
-        "feature", F.col("shown").alias("psi"), F.lit(True).alias("threshold_exceeded")))
-    report = rounded.agg(
-        F.coalesce(F.max("shown"), F.lit(0.0)).alias("max_psi"),
-        F.array_sort(F.collect_list(drifted)).alias("drifted_features"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("feature", "shown")))).alias("feature_psi_details"))
     one = F.lit(1).alias("one")
-    report = report.select("*", one).join(window.select("*", one), "one")  # one row each
+    report = scores.groupBy().agg(*_found(threshold)).select("*", one).join(window.select("*", one), "one")  # one row each
+    return _reported(report, check_ts, threshold)
+
+
+def _found(threshold: float) -> list[Column]:
+    shown = F.bround("psi", 6)
+    drifted = F.when(F.col("psi") > threshold, F.struct("feature", shown.alias("psi"), F.lit(True).alias("threshold_exceeded")))
+    return [F.coalesce(F.max(shown), F.lit(0.0)).alias("max_psi"), F.array_sort(F.collect_list(drifted)).alias("drifted_features"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("feature"), shown.alias("shown"))))).alias("feature_psi_details")]
+
+
+def _reported(report: DataFrame, check_ts: Column, threshold: float) -> DataFrame:
     return report.select(
         F.md5(F.concat_ws("|", "window_start", "window_end", check_ts.cast("string"))).alias("report_id"),
         check_ts.alias("check_ts"), "window_start", "window_end", "max_psi",
@@ -293,6 +297,46 @@ def hourly_psi(histogram: DataFrame, baseline: DataFrame) -> DataFrame:
     return own.select("hour", (here + lacking + unseen).alias("psi"))
 
 
+def hourly_bins(rows: DataFrame, ts: str, columns: list[str], baseline: DataFrame) -> DataFrame:
+    """``(hour, feature, bin, n)``: counts per hour of data and bin of the stored baseline; the same code serves a batch and a stream.
+
+    A value finds its bin in the row before anything is grouped, so the state of a stream holds a count per hour, feature and bin.
+    """
+    types = dict(rows.dtypes)
+    numbers = [(F.col(c).try_cast("double") if types[c] == "string" else F.col(c).cast("double")).alias(c) for c in columns]
+    values = rows.select(F.col(ts).alias("_ts"), *numbers).unpivot(["_ts"], columns, "feature", "value").where("value is not null and not isnan(value)")
+    edges = baseline.where("kind = 'numeric'").select("feature", F.col("bins").alias("edges"))  # a row per feature
+    binned = values.join(F.broadcast(edges), "feature").select("_ts", "feature", bin_of(F.col("value"), F.col("edges")).alias("bin"))
+    return binned.groupBy(F.window("_ts", "1 hour").alias("w"), "feature", "bin").agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("w.start").alias("hour"), "feature", "bin", "n")
+
+
+def hourly_feature_psi(bins: DataFrame, baseline: DataFrame, overflow_bins: bool = True) -> DataFrame:
+    """``(hour, feature, psi)`` from whole hours of ``hourly_bins``, as ``feature_psi`` gives it for the rows of one hour.
+
+    An hour has the baseline's bins of each feature that it has values of, and two more for values outside of the baseline's range.
+    """
+    stored = baseline.where("kind = 'numeric'").select("feature", F.col("expected").alias("stored"))  # a row per feature
+    last = F.size("stored")
+    slots = F.transform("stored", lambda e, i: F.struct(i.alias("bin"), e.alias("expected")))
+    if overflow_bins:
+        slots = F.concat(slots, F.array(*[F.struct(b.alias("bin"), F.lit(PSI_EPS).alias("expected")) for b in (F.lit(-1), last)]))
+    counted = bins.groupBy("hour", "feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("seen"))  # a bin each
+    grid = counted.join(F.broadcast(stored), "feature").withColumn("slot", F.explode(slots))
+    n = F.coalesce(F.try_element_at("seen", F.col("slot.bin")), F.lit(0))
+    whole = Window.partitionBy("hour", "feature")
+    pairs = grid.select("hour", "feature", F.col("slot.expected").alias("expected"), n.alias("n"))
+    pairs = pairs.withColumn("actual", _smoothed(F.col("n"), F.sum("n").over(whole), F.count(F.lit(1)).over(whole)))
+    return psi(pairs, "hour")
+
+
+def hourly_reports(scores: DataFrame, threshold: float = PSI_THRESHOLD) -> DataFrame:
+    """A report per hour of ``(hour, feature, psi)``, checked at the hour's end."""
+    end = F.col("hour") + F.expr("interval 1 hour")
+    found = scores.groupBy("hour").agg(*_found(threshold)).withColumns({"window_start": F.col("hour"), "window_end": end})
+    return _reported(found, F.col("window_end"), threshold)
+
+
 def perturb(flows: DataFrame, fraction: float, id_column: str = "flow_id") -> DataFrame:
     """What-if: for a repeatable share of flows turn tcp into icmp and http into private."""
     draw = F.conv(F.substring(F.md5(F.col(id_column).cast("string")), 1, 8), 16, 10).cast("long")

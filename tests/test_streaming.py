@@ -128,3 +128,31 @@ def test_a_batch_run_again_keeps_its_files(spark, tmp_path):
     shutil.rmtree(tmp_path / "cp" / "commits")  # as if the stream had ended before its batch was committed
     load()
     assert sorted(r.line for r in spark.read.parquet(str(tmp_path / "out" / "records")).collect()) == ['{"n":1}', '{"n":2}']
+
+
+def test_hours_of_numbers_drift_as_in_a_batch(spark, tmp_path):
+    import datetime
+    import random
+    from packetmill.operators import drift
+    rng = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(start + datetime.timedelta(minutes=i), rng.gauss(i // 120, 1), None if i % 3 else rng.random()) for i in range(420)]
+    rows.append((start + datetime.timedelta(days=2), 0.0, 0.0))  # moves the watermark; its own hour stays open
+    schema = "ts timestamp, a double, b double"
+    table = spark.createDataFrame(rows, schema)
+    profile = drift.numeric_profile(table.where("ts < '2024-01-01 02:00:00'"), ["a", "b"])
+    none = spark.createDataFrame([], "feature string, n long, category string, expected double")
+    stored = drift.baseline_table(profile, none)
+    baseline = spark.createDataFrame(stored.collect(), stored.schema)
+    feed(spark, str(tmp_path), [rows[:150], rows[150:300], rows[300:]], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.start(jobs.hourly_drift(stream, "ts", ["a", "b"], baseline, str(tmp_path / "out"), str(tmp_path / "cp"), "0 seconds")).awaitTermination()
+    got = {(r.hour, r.feature): r.psi for r in spark.read.parquet(str(tmp_path / "out" / "scores")).collect()}
+    assert len(got) == 14
+    for h in range(7):
+        hour = start + datetime.timedelta(hours=h)
+        live = table.where(F.date_trunc("hour", "ts") == F.lit(hour))
+        for r in drift.feature_psi(live, baseline, ["a", "b"], []).collect():
+            assert abs(got[hour, r.feature] - r.psi) < 1e-9
+    reports = spark.read.parquet(str(tmp_path / "out" / "reports"))
+    assert reports.count() == 7 and reports.where("status = 'ALERT'").count() == spark.read.parquet(str(tmp_path / "out" / "alerts")).count() > 0
