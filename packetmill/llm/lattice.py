@@ -12,11 +12,11 @@ become Zipf weights) and are re-estimated on the training documents by expected
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetmill.llm.common import batch_rows, input_bytes
@@ -26,6 +26,8 @@ from packetmill.session import materialise
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MARK = "▁".encode()
 _PRIME = np.uint64(_BASE)
+#: Bytes of a batch of words whose arcs are held.
+_HELD = 1 << 17
 
 
 class Vocabulary:
@@ -57,6 +59,24 @@ class Vocabulary:
         at[at == len(self.hashes)] = 0
         return begin, np.where(self.hashes[at] == h, self.places[at], -1)
 
+    def all_arcs(self, prefix: np.ndarray, symbols: np.ndarray) -> Sequence[tuple[np.ndarray, np.ndarray]]:
+        """The pieces by their end: looked up once, but anew at each use where a very long word would fill the memory."""
+        every = _Arcs(self, prefix, symbols)
+        return list(every) if symbols.size <= _HELD else every
+
+
+class _Arcs(Sequence):
+    def __init__(self, vocabulary: Vocabulary, prefix: np.ndarray, symbols: np.ndarray):
+        self.vocabulary, self.prefix, self.symbols = vocabulary, prefix, symbols
+
+    def __len__(self) -> int:
+        return self.symbols.shape[1]
+
+    def __getitem__(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        if not 0 <= place < len(self):
+            raise IndexError(place)
+        return self.vocabulary.arcs(self.prefix, self.symbols, place + 1)
+
 
 def _hash(b: bytes) -> int:
     h = 0
@@ -103,14 +123,14 @@ def _batches(words: list[bytes], cells: int = 1 << 16) -> Iterator[np.ndarray]:
                 yield same[at:at + step]
 
 
-def _forward(vocabulary: Vocabulary, logp: np.ndarray, b: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-    """``alpha[:, j]``: log probability of the first j bytes, over all ways to cut them."""
+def _forward(vocabulary: Vocabulary, logp: np.ndarray, b: np.ndarray, arcs: list) -> np.ndarray:
+    """``alpha[:, j]``: log probability of the first j bytes, over all ways to cut them; ``arcs`` holds the pieces by their end."""
     n = b.shape[1]
     alpha = np.full((len(b), n + 1), -np.inf)
     alpha[:, 0] = 0
     padded = np.append(logp[:vocabulary.size], -np.inf)
     for j in range(1, n + 1):
-        begin, piece = vocabulary.arcs(prefix, b, j)
+        begin, piece = arcs[j - 1]
         ways = alpha[:, begin] + padded[piece]
         alpha[:, j] = np.logaddexp(np.logaddexp.reduce(ways, axis=1), alpha[:, j - 1] + padded[vocabulary.bytes_of[b[:, j - 1]]])
     return alpha
@@ -121,7 +141,7 @@ def word_scores(vocabulary: Vocabulary, logp: np.ndarray, words: list[bytes]) ->
     out = np.empty(len(words))
     for at in _batches(words):
         b, prefix = _rows([words[i] for i in at])
-        out[at] = _forward(vocabulary, logp, b, prefix)[:, -1]
+        out[at] = _forward(vocabulary, logp, b, vocabulary.all_arcs(prefix, b))[:, -1]
     return out
 
 
@@ -131,12 +151,13 @@ def expected_counts(vocabulary: Vocabulary, logp: np.ndarray, words: list[bytes]
     out = np.zeros(vocabulary.size + 1)
     for at in _batches(words):
         b, prefix = _rows([words[i] for i in at])
-        alpha = _forward(vocabulary, logp, b, prefix)
+        arcs = vocabulary.all_arcs(prefix, b)  # looked up once, walked forward and back
+        alpha = _forward(vocabulary, logp, b, arcs)
         n, c = b.shape[1], counts[at][:, None]
         beta = np.full_like(alpha, -np.inf)
         beta[:, n] = 0
         for j in range(n, 0, -1):
-            begin, piece = vocabulary.arcs(prefix, b, j)
+            begin, piece = arcs[j - 1]
             byte = vocabulary.bytes_of[b[:, j - 1]]
             reach = padded[piece] + beta[:, j, None]
             single = padded[byte] + beta[:, j]
@@ -173,8 +194,8 @@ def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", te
     ``score`` the log10 of the text's marginal probability under the piece lattice.
 
     Documents are dealt into blocks by a hash. A block sends each of its distinct words once, the counts are
-    summed by word, and each block gets back count and score by word number, so nothing is joined
-    per occurrence. Piece probabilities are one bounded table: a row per vocabulary piece goes to the
+    summed by word, every distinct word is scored once, and a join on the word sends count and score to each block that has it,
+    so nothing is joined per occurrence. Piece probabilities are one bounded table: a row per vocabulary piece goes to the
     driver. Null and empty texts are one end token. Repeated rows are scored, and counted, each; without training rows
     every count is 0 and the vocabulary's own weights score; an empty table gives an empty result.
     """
@@ -194,11 +215,11 @@ def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", te
                          "number": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.binary()),
                          "n": pa.array(uses, pa.int64())})
 
-    sent = blocked.groupBy("block").applyInArrow(distinct, "block long, number int, word binary, n long")
-    # A word has one row per block here, however often it occurs.
-    by_word = materialise(_with_counts(sent), "lm-words")
+    # A word has one row per block here, however often it occurs, and then one row.
+    sent = materialise(blocked.groupBy("block").applyInArrow(distinct, "block long, number int, word binary, n long"), "lm-sent")
+    by_word = materialise(sent.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
     ends = rows.filter("train").count()
-    totals = by_word.filter("first and c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    totals = by_word.filter("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
 
     vocabulary = Vocabulary(model.value)
@@ -209,19 +230,14 @@ def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", te
     current = spark.sparkContext.broadcast(logp)
 
     def lattices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last = Vocabulary(model.value), {}
+        known = Vocabulary(model.value)
         for batch in batches:
-            words = batch.column(2).to_pylist()
-            last = {w: last[w] for w in set(words) & last.keys()}
-            fresh = sorted(set(words) - last.keys())
-            last.update(zip(fresh, word_scores(known, current.value, fresh)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array([last[w] for w in words], pa.float64())],
-                names=["block", "number", "c", "logp"])
+            logs = word_scores(known, current.value, batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs)], names=["word", "c", "logp"])
 
     with batch_rows(spark, 20_000):
-        answers = materialise(by_word.select("block", "number", "word", "c").mapInArrow(
-            lattices, "block long, number int, c long, logp double"), "lm-answers")
+        scores = materialise(by_word.mapInArrow(lattices, "word binary, c long, logp double"), "lm-scores")
+    answers = materialise(sent.select("block", "number", "word").join(scores, "word").select("block", "number", "c", "logp"), "lm-answers")
     end_logp = float(logp[-1])
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -247,13 +263,6 @@ def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", te
     return scored.withColumnRenamed("id", id_col)
 
 
-def _with_counts(sent: DataFrame) -> DataFrame:
-    """``(block, number, word, c, first)``: the word's training count at each of its blocks, and one row per word marked."""
-    same = Window.partitionBy("word")
-    return sent.select("block", "number", "word", F.sum("n").over(same).alias("c"),
-                       (F.row_number().over(same.orderBy("block")) == 1).alias("first"))
-
-
 def _reestimate(by_word: DataFrame, model, logp: np.ndarray, ends: int) -> np.ndarray:
     """One round of expected counts over all training words; a tenth of a use is added to each piece."""
     spark = by_word.sparkSession
@@ -269,7 +278,7 @@ def _reestimate(by_word: DataFrame, model, logp: np.ndarray, ends: int) -> np.nd
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "uses"])
 
     with batch_rows(spark, 20_000):
-        uses = (by_word.filter("first and c > 0").select("word", "c").mapInArrow(expect, "piece int, uses double")
+        uses = (by_word.filter("c > 0").select("word", "c").mapInArrow(expect, "piece int, uses double")
                 .groupBy("piece").agg(F.sum("uses").alias("uses")).collect())
     total = np.full(len(logp) - 1, 0.1)
     for r in uses:

@@ -90,3 +90,11 @@ def test_base_counts_and_better_than_start(spark, frame, odd):
     a, b = (sum(r.score for r in x if r.held_out and (r.doc_id or 0) >= 50) for x in (got.values(), plain.collect()))
     assert a > b
     assert lattice.score(frame(rows).limit(0), held, PATH).count() == 0
+
+
+def test_arcs_held_or_looked_up_anew_give_the_same(vocabulary, monkeypatch):
+    logp, words = lattice.normalise(vocabulary.start, -3.0), [b"the", b"naming", b"straight" * 4, bytes(range(128, 160))]
+    held = lattice.word_scores(vocabulary, logp, words), lattice.expected_counts(vocabulary, logp, words, np.arange(1.0, 5.0))
+    monkeypatch.setattr(lattice, "_HELD", 0)
+    anew = lattice.word_scores(vocabulary, logp, words), lattice.expected_counts(vocabulary, logp, words, np.arange(1.0, 5.0))
+    assert all((a == b).all() for a, b in zip(held, anew))
