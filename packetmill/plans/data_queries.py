@@ -218,7 +218,8 @@ def categorical_profile(spark, sf):
 def live_histogram(spark, sf):
     _, live = _split(spark, sf)
     edges = _baseline(spark, sf).where("kind = 'numeric'").select("feature", F.col("bins").alias("edges"))
-    counts = dr.qt.value_counts(dr.long_numeric(live, NUM))
+    # Binned before anything is grouped, as the drift report does.
+    counts = dr.long_numeric(live, NUM).where("value is not null").withColumn("cnt", F.lit(1))
     inside = (F.col("bin") >= 0) & (F.col("bin") < F.size("edges") - 1)
     return dr.histogram(counts, edges).join(edges, "feature").where(inside).select("feature", "bin", "n")
 

@@ -236,6 +236,13 @@ def legacy(spark, sf):
         "flow_id", "predicted_category", "confidence", "is_alert")
 
 
+def legacy_margin(spark, sf):
+    """Classes of a model that gives no probability: the line number picks the class, the confidence is the fixed one."""
+    found = A.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 5).cast("double").alias("prediction"))
+    return compare.legacy_classify(found, ["DoS", "Normal", "Probe", "R2L", "U2R"]).select(
+        "l_orderkey", "l_linenumber", "predicted_category", "confidence", "is_alert")
+
+
 def artifact_parts(spark, sf):
     """Rows of each of the five stored parts: what a model set is made of, counted in the files.
 
@@ -424,6 +431,9 @@ QUERIES = {
     "l07_isolation_forest": (anomaly_scores, None),
     "l08_batch_scoring": (scored, None),
     "l09_legacy_classify": (legacy, None),
+    "l09_legacy_margin": (legacy_margin, """
+        with p as (select l_orderkey, l_linenumber, ['DoS', 'Normal', 'Probe', 'R2L', 'U2R'][l_linenumber % 5 + 1] as predicted_category from lineitem)
+        select *, 0.95::double as confidence, predicted_category <> 'Normal' as is_alert from p"""),
     "l10_model_comparison": (comparison, None),
     "l11_training_run": (training_run, None),
     "d04_vectorised_scoring": (vectorised_scoring, FIXED_SQL),
