@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,12 +67,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+# Paths that the open blocks of ``passing_tables`` have written, the innermost block last.
+_passing: list[list[str]] = []
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside go when the block ends.
+
+    What is read later has to be written with ``keep=True``. When the block fails its tables stay.
+    """
+    _passing.append([])
+    try:
+        yield
+    except BaseException:
+        _passing.pop()
+        raise
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _passing.pop():
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write an intermediate to the shared folder and read it back.
 
     For results that several later steps read: they are computed once, survive lost
-    executors, and come back with file statistics, so later joins know their size.
+    executors, and come back with file statistics, so later joins know their size. Inside of ``passing_tables``
+    they go with the block, unless ``keep`` is set.
     """
     path = scratch_path(df.sparkSession, name)
+    if _passing and not keep:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
