@@ -166,11 +166,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(named.join(name, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-# Hash seeds of a long sketch: its first words are indexed, all of them are compared.
-SKETCH_SEEDS, INDEXED, LOOSE = [42, 43, 44, 45], 2, 15
+# Hash seeds of a long sketch: its first words are indexed, the first two decide whether a lookup is a candidate, and
+# all of them are compared. Texts at crowded segment values are told apart by sharper sketches of SHARP words.
+SKETCH_SEEDS, INDEXED, CARRIED, SHARP = [42, 43, 44, 45], 3, 2, 32
 # Texts at one segment value from which further leaders are asked for, leaders a round, and texts of one group there
-# from which its own lookups pass it over.
-CROWD, LEADERS, MANY = 64, 4, 16
+# from which its own lookups pass it over. Above DENSE texts beyond four times the mean, sharper sketches are compared.
+CROWD, LEADERS, MANY, DENSE = 64, 4, 16, 4
 
 
 def most_bits(similarity: float, bits: int = BITS * len(SKETCH_SEEDS)) -> int:
@@ -194,11 +195,10 @@ def sketches(docs: DataFrame, key_col: str, text_col: str, words: int) -> DataFr
 
 
 def _slots(nodes: DataFrame, *keep: str) -> DataFrame:
-    """``(slot, word, ...)`` for each 16-bit segment of the indexed words; the slot holds which segment it is, and its value."""
-    parts = [F.struct((F.lit((k * 4 + s) << 16).cast("long") + F.shiftrightunsigned(F.col(f"s{k}"), 16 * s).bitwiseAND(
-        F.lit(0xFFFF).cast("long"))).alias("slot"), F.lit(k).alias("k"), F.col(f"s{k}").alias("word"))
-        for k in range(INDEXED) for s in range(4)]
-    return nodes.select(*keep, F.explode(F.array(*parts)).alias("x")).select(*keep, "x.*")
+    """``(slot, ...)`` for each 16-bit segment of the indexed words; the slot holds which segment it is, and its value."""
+    parts = [F.lit((k * 4 + s) << 16).cast("long") + F.shiftrightunsigned(F.col(f"s{k}"), 16 * s).bitwiseAND(
+        F.lit(0xFFFF).cast("long")) for k in range(INDEXED) for s in range(4)]
+    return nodes.select(*keep, F.explode(F.array(*parts)).alias("slot"))
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -210,6 +210,34 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in rows), np.uint64, len(rows)))
 
 
+def sharp_sketch(text: str, words: int, size: int = SHARP) -> np.ndarray:
+    """``size`` signed words: each shingle is hashed once and its hash mixed with a number a word (the finaliser of splitmix64)."""
+    h = shingle_set(text, words)
+    ones = np.zeros(size * BITS, np.int64)
+    step = (np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for at in range(0, len(h), _AT_ONCE // size):
+        z = h[at:at + _AT_ONCE // size, None] + step
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = (z ^ (z >> np.uint64(31))).astype("<u8")
+        ones += np.unpackbits(z.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")
+
+
+def sharp_sketches(docs: DataFrame, key_col: str, text_col: str, words: int) -> DataFrame:
+    """``(key_col, t0 .. t31)``."""
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            texts = texts_of(batch.column(batch.schema.get_field_index(text_col)))
+            table = np.array([sharp_sketch(t, words) for t in texts], np.int64).reshape(-1, SHARP)
+            return {f"t{k}": pa.array(table[:, k].copy()) for k in range(SHARP)}
+        return work
+
+    return append_columns(docs.select(key_col, text_col), make,
+                          [T.StructField(f"t{k}", T.LongType()) for k in range(SHARP)]).drop(text_col)
+
+
 def really_similar(edges: DataFrame, docs: DataFrame, key_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """The edges ``(a, b)`` between keys whose shingle sets have that Jaccard similarity; sets are made for these rows only."""
 
@@ -242,9 +270,10 @@ def really_similar(edges: DataFrame, docs: DataFrame, key_col: str, text_col: st
 def similar_groups(docs: DataFrame, key_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(key_col, root)``: the smallest key among the row's near duplicates at ``similarity`` or more of their shingle sets.
 
-    Rows are compared by sketches of 256 bits. Two of its 64-bit words are indexed by 16-bit segments; a lookup asks for
+    Rows are compared by sketches of 256 bits. Three of its 64-bit words are indexed by 16-bit segments; a lookup asks for
     the ball of one bit around each, so every pair of texts within 7 bits of one of these words is met for certain, and a pair
-    at a similarity of 0.8 in nine cases of ten; then the complete distances, and last the shingle sets themselves, decide.
+    at a similarity of 0.8 in 98 cases of 100; then the complete distances, and last the shingle sets themselves, decide.
+    Every distance may be three deviations above that of a pair at ``similarity``.
     Every different text is indexed and asks; only pairs that earlier links have joined already are left out (see
     ``_met``). Before that, every text is held against the most frequent text of each of its segment values, and
     where a segment value is crowded with several groups against further ones, which takes groups of near copies
@@ -291,7 +320,7 @@ def similar_groups(docs: DataFrame, key_col: str, text_col: str = "text", words:
         less = joined.select("root").distinct().count() - group.select("root").distinct().count()
         if less * 20 <= before:  # the lookups are complete without a further round
             break
-    near = materialise(_met(group), "sketch-near")
+    near = materialise(_met(group, docs, key_col, text_col, words, similarity), "sketch-near")
     other = group.select(F.col("node").alias("other"), *[F.col(w).alias(f"o{w}") for w in all_words])
     met = linked(near.join(group, "node").join(other, "other").filter(apart("", "o") <= most), "met")
     root = materialise(components(materialise(found.unionByName(met), "similar-links")), "sketch-roots")
@@ -299,27 +328,52 @@ def similar_groups(docs: DataFrame, key_col: str, text_col: str = "text", words:
     return marked.join(named, all_words).select(key_col, "root")
 
 
-def _met(group: DataFrame) -> DataFrame:
-    """Pairs ``(node, other)`` of different roots whose indexed words lie within ``LOOSE`` bits, met through a ball of one bit.
+def _met(group: DataFrame, docs: DataFrame, key_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """Pairs ``(node, other)`` of different roots, met through a ball of one bit, whose distance allows the similarity.
 
     Where one root has many nodes at a segment value, its own nodes ask for the other roots' nodes there only, so the pairs
-    inside of a large group are never looked at; nodes of other roots ask for all.
+    inside of a large group are never looked at; nodes of other roots ask for all. Elsewhere two words decide. At
+    segment values with far more texts than the mean most texts are near copies that just miss the similarity,
+    which short sketches cannot tell: there 2048 bits are compared, made for the texts at those values only.
     """
-    index = _slots(group, "node", "root").select("slot", F.col("node").alias("other"), F.col("root").alias("oroot"),
-                                                 F.col("word").alias("oword"))
-    big = index.groupBy("slot", "oroot").count().groupBy("slot").agg(
-        F.max(F.struct("count", "oroot")).alias("p"), F.sum("count").alias("all")).filter(F.col("p.count") > MANY)
-    big = materialise(big.select("slot", F.col("p.oroot").alias("big"), (F.col("all") - F.col("p.count")).alias("rest")), "sketch-big")
-    asked = _slots(group, "node", "root").select("slot", "node", "root", "word", F.explode(_masks(16, 1)).alias("mask")).select(
-        F.col("slot").bitwiseXOR(F.col("mask")).alias("slot"), "node", "root", "word").join(big, "slot", "left")
+    dense = DENSE + 4 * group.count() / (1 << 16)
+    carried, sharp = [f"s{k}" for k in range(CARRIED)], [f"t{k}" for k in range(SHARP)]
+    index = _slots(group, "node", "root", *carried).select(
+        "slot", F.col("node").alias("other"), F.col("root").alias("oroot"), *[F.col(w).alias(f"o{w}") for w in carried])
+    sizes = materialise(index.groupBy("slot", "oroot").count().groupBy("slot").agg(
+        F.max(F.struct("count", "oroot")).alias("p"), F.sum("count").alias("all")).filter(
+        (F.col("p.count") > MANY) | (F.col("all") > 1)), "sketch-sizes")
+    # Around a very crowded value its texts ask at each neighbour, too.
+    around = sizes.filter(F.col("all") > 2 * dense).select(F.explode(_masks(16, 1)).alias("mask"), "slot").select(
+        F.col("slot").bitwiseXOR(F.col("mask")).alias("slot")).distinct().withColumn("around", F.lit(True))
+    big = sizes.join(around, "slot", "full").withColumn(
+        "crowd", F.coalesce("around", F.lit(False)) | F.coalesce(F.col("all") > dense, F.lit(False)))
+    big = materialise(big.filter((F.col("p.count") > MANY) | F.col("crowd")).select(
+        "slot", F.when(F.col("p.count") > MANY, F.col("p.oroot")).alias("big"),
+        (F.col("all") - F.col("p.count")).alias("rest"), "crowd"), "sketch-big")
+    asked = _slots(group, "node", "root", *carried).withColumn("mask", F.explode(_masks(16, 1))).select(
+        F.col("slot").bitwiseXOR(F.col("mask")).alias("slot"), "node", "root", *carried).join(big, "slot", "left")
     index = index.join(big.drop("rest"), "slot", "left")
     of_big = F.coalesce(F.col("oroot") == F.col("big"), F.lit(False))
     foreign = F.coalesce(F.col("root") != F.col("big"), F.lit(True))
-
-    def pairs(asks: DataFrame, held: DataFrame) -> DataFrame:
-        fits = (F.col("node") < F.col("other")) & (F.col("root") != F.col("oroot")) & (
-            F.bit_count(F.col("word").bitwiseXOR(F.col("oword"))) <= LOOSE)
-        return asks.drop("big", "rest").join(held.drop("big").hint("shuffle_hash"), "slot").filter(fits).select("node", "other")
-
-    return pairs(asked.filter(foreign | (F.col("rest") > 0)), index.filter(~of_big)).unionByName(
-        pairs(asked.filter(F.col("big").isNotNull() & foreign), index.filter(of_big))).distinct()
+    crowd = F.coalesce(F.col("crowd"), F.lit(False))
+
+    def pairs(asks: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+        apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in columns), F.lit(0))
+        fits = (F.col("node") != F.col("other")) & (F.col("root") != F.col("oroot")) & (
+            apart <= most_bits(similarity, BITS * len(columns)))
+        return asks.drop("big", "rest", "crowd").join(held.drop("big", "crowd").hint("shuffle_hash"), "slot").filter(fits).select(
+            F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
+
+    def both(asks: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+        return pairs(asks.filter(foreign | (F.col("rest") > 0)), held.filter(~of_big), columns).unionByName(
+            pairs(asks.filter(F.col("big").isNotNull() & foreign), held.filter(of_big), columns))
+
+    asks = materialise(asked.filter(crowd).drop(*carried), "crowd-asks")
+    held = materialise(index.filter(crowd).drop(*[f"o{w}" for w in carried]), "crowd-held")
+    there = asks.select(F.col("node").alias(key_col)).union(held.select("other")).distinct()
+    marks = materialise(sharp_sketches(docs.select(key_col, text_col).join(there, key_col, "left_semi"), key_col, text_col, words),
+                        "sharp-sketches").select(F.col(key_col).alias("node"), *sharp)
+    crowded = both(asks.join(marks, "node"), held.join(marks.select(
+        F.col("node").alias("other"), *[F.col(t).alias(f"o{t}") for t in sharp]), "other"), sharp)
+    return both(asked.filter(~crowd), index.filter(~crowd), carried).unionByName(crowded).distinct()
