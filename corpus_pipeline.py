@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from packetmill.llm import langid, mixing, pieces, pii, simhash
 from packetmill.llm.common import documents, pick, tuned, with_key
 from packetmill.llm.queries import PIECES
-from packetmill.session import materialise
+from packetmill.session import materialise, passing_tables
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Not expressible in SQL: trained models, sketches and a tokenizer.
@@ -70,9 +70,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+    """All stages over the table of documents. A stage's own tables go when its output is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with passing_tables(spark):
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
