@@ -7,7 +7,8 @@ are different segments with equal anchors, and for these the suffix array of the
 
 It is built by inserting one symbol of every segment in each round, from the last to the first: the position of a
 new suffix follows from the Burrows-Wheeler transform of the collection so far, the common prefixes of its neighbours
-from the ones before. Both, and the owners of the suffixes, are files that each round reads and writes in sequence.
+from the ones before. Both are files that each round reads and writes in sequence; whose suffix stands where is read off
+the finished transform.
 """
 
 from __future__ import annotations
@@ -115,9 +116,9 @@ def firsts(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class ColumnFiles:
-    """The collection so far as files of equal length: symbol before, common prefix, owner and length of each suffix."""
+    """The collection so far as files of equal length: the symbol before each suffix and its common prefix with the one before."""
 
-    COLUMNS = {"bwt": np.dtype("u1"), "lcp": np.dtype("u1"), "owner": np.dtype("<i4"), "size": np.dtype("u1")}
+    COLUMNS = {"bwt": np.dtype("u1"), "lcp": np.dtype("u1")}
 
     def __init__(self, folder: str, block: int = 1 << 20):
         self.folder, self.block, self.round = folder, block, 0
@@ -162,10 +163,34 @@ class ColumnFiles:
             os.remove(self.path(c, self.round))
 
 
-def _range_min(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Minimum of ``values[begin:end]``, every range holding something."""
-    edges = np.stack([begin, end], 1).ravel()
-    return np.minimum.reduceat(np.append(values, 255), edges)[::2]
+class RangeMin:
+    """Minima of ranges of bytes: both ends are read, whole blocks between them answered by two stretches of a power of two."""
+
+    STEPS = 4  # blocks of 1 << STEPS values
+
+    def __init__(self, values: np.ndarray):
+        wide = 1 << self.STEPS
+        self.values, least = values, values[:len(values) // wide * wide]
+        for _ in range(self.STEPS):
+            least = np.minimum(least[::2], least[1::2])
+        self.levels, step = [least], 1
+        while 2 * step <= len(least):
+            self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
+            step *= 2
+
+    def __call__(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Minimum of ``values[begin:end]``, every range holding something."""
+        near = np.arange(1 << self.STEPS)
+        out = np.minimum(self.values[np.minimum(begin[:, None] + near, end[:, None] - 1)].min(axis=1, initial=255),
+                         self.values[np.maximum(end[:, None] - 1 - near, begin[:, None])].min(axis=1, initial=255))
+        first, last = -(-begin >> self.STEPS), end >> self.STEPS
+        inside = np.flatnonzero(last > first)
+        level = np.frexp(last[inside] - first[inside])[1] - 1
+        for k in np.unique(level):
+            rows = inside[level == k]
+            table = self.levels[k]
+            out[rows] = np.minimum(out[rows], np.minimum(table[first[rows]], table[last[rows] - (1 << k)]))
+        return out
 
 
 def suffix_array(segments: list[bytes], folder: str, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,11 +213,11 @@ def suffix_array(segments: list[bytes], folder: str, block: int = 1 << 20) -> tu
         raise ValueError("a collection uses at most 255 different bytes")
     files = ColumnFiles(folder, block)
     # The empty suffixes, one a segment, in the order of the segments.
-    files.begin({"bwt": codes[0], "lcp": np.zeros(n), "owner": np.arange(n), "size": np.zeros(n)})
+    files.begin({"bwt": codes[0], "lcp": np.zeros(n)})
     place = np.arange(n)  # where the longest suffix so far of each segment stands
     for t in range(longest):
         active = np.flatnonzero(sizes > t)
-        bwt, lcp = files.read("bwt"), files.read("lcp")
+        bwt, least = files.read("bwt"), RangeMin(files.read("lcp"))
         order = np.argsort(bwt, kind="stable")
         finished = int(np.count_nonzero(bwt == 0))
         rank = np.empty(len(bwt), np.int64)
@@ -205,7 +230,7 @@ def suffix_array(segments: list[bytes], folder: str, block: int = 1 << 20) -> tu
         same = (mine > 0) & (bwt[before] == bwt[here])
         prefix = np.zeros(len(mine), np.uint8)
         if same.any():
-            prefix[same] = 1 + _range_min(lcp, before[same] + 1, here[same] + 1)
+            prefix[same] = 1 + least(before[same] + 1, here[same] + 1)
         after = order[np.minimum(mine + 1, len(order) - 1)]
         follows = (mine + 1 < len(order)) & (bwt[after] == bwt[here])
         # The row after a new one, if it is an old one with the same symbol, gets a new common prefix.
@@ -214,14 +239,22 @@ def suffix_array(segments: list[bytes], folder: str, block: int = 1 << 20) -> tu
         old_next = follows & ~is_new[np.minimum(mine + 1, len(order) - 1)]
         rows = np.flatnonzero(old_next)
         changed_rows = final[rows] + 1 - np.searchsorted(final, final[rows] + 1)
-        changed = 1 + _range_min(lcp, here[rows] + 1, after[rows] + 1) if len(rows) else np.empty(0, np.uint8)
-        files.insert(final, {"bwt": codes[t + 1][active], "lcp": prefix, "owner": active, "size": np.full(len(active), t + 1)},
-                     {"lcp": (changed_rows, changed.astype(np.uint8))})
+        changed = 1 + least(here[rows] + 1, after[rows] + 1) if len(rows) else np.empty(0, np.uint8)
+        files.insert(final, {"bwt": codes[t + 1][active], "lcp": prefix}, {"lcp": (changed_rows, changed.astype(np.uint8))})
         # Old rows moved up behind the new ones; only the new ones are longest suffixes of active segments.
         place[active] = final
-    out = files.read("owner"), files.read("size").astype(np.int64), files.read("lcp")
+    bwt, lcp = files.read("bwt"), files.read("lcp")
     files.remove()
-    return out
+    # A suffix's place among all, in the order by the symbol before it, is the place of the suffix one symbol longer.
+    longer = np.empty(len(bwt), np.int64)
+    longer[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
+    owner, size, place = np.empty(len(bwt), np.int64), np.zeros(len(bwt), np.int64), np.arange(n)
+    owner[:n] = place
+    for t in range(longest):
+        active = np.flatnonzero(sizes > t)
+        place[active] = longer[place[active]]
+        owner[place[active]], size[place[active]] = active, t + 1
+    return owner, size, lcp
 
 
 def repeated_windows(segments: list[bytes], keys: np.ndarray, starts: np.ndarray, span: int, folder: str) -> Iterator[tuple[int, int, int]]:

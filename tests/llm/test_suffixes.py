@@ -38,6 +38,16 @@ def test_suffix_array(tmp_path, block):
     assert not list(tmp_path.iterdir())
 
 
+@pytest.mark.parametrize("n", [1, 15, 16, 17, 33, 500])
+def test_range_minima(n):
+    rng = np.random.default_rng(n)
+    values = rng.integers(0, 255, n).astype(np.uint8)
+    begin = rng.integers(0, n, 400)
+    end = begin + 1 + (rng.random(400) * (n - begin)).astype(np.int64)
+    got = suffixes.RangeMin(values)(begin, end)
+    assert got.tolist() == [values[a:b].min() for a, b in zip(begin, end)]
+
+
 def corpus(rng, n):
     word = lambda: "".join(rng.choice(["the", "of", "ing", "é", "日", "x"]) for _ in range(rng.randrange(1, 4)))
     passage = [" ".join(word() for _ in range(60)) for _ in range(4)]
