@@ -138,3 +138,19 @@ def test_array_elements_carry_over_blocks_and_long_ones_are_not_gathered(spark):
         values = [r.n for r in landed.select(F.try_variant_get("record_content", "$.n", "long").alias("n")).collect()]
         assert values == [*range(50), None]
     assert landing.array_elements(lines.where("false")).count() == 0
+
+
+def test_records_read_their_lines_once(spark):
+    read = spark.sparkContext.accumulator(0)
+    rows = [("a", i + 1, t) for i, t in enumerate(["[", " {\"k\": 1,", " \"l\": 2},", "3", "]"])] + [("b", 1, "{}"), ("b", 2, "7")]
+
+    def through(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lines = spark.createDataFrame(rows, "file_name string, file_row_number long, line string").mapInArrow(
+        through, "file_name string, file_row_number long, line string")
+    got = sorted((r.file_name, r.file_row_number, r.line) for r in landing.records_of(lines).collect())
+    assert [(f, n, t.strip()) for f, n, t in got] == [("a", 1, "{\"k\": 1,\n \"l\": 2}"), ("a", 2, "3"), ("b", 1, "{}"), ("b", 2, "7")]
+    assert read.value == len(rows)
