@@ -137,3 +137,32 @@ def test_correlation_plan_is_small(spark):
     assert len(got) == 703 and all(abs(v - expected.loc[a, b]) < 1e-9 for (a, b), v in got.items())
     empty = ft.correlations(table.where("false"), columns[:3]).collect()
     assert [r.abs_r for r in empty] == [None] * 3
+
+
+def _counted(spark, table):
+    """The table, and how many of its rows have been read so far."""
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return table.mapInArrow(through, table.schema), read
+
+
+def test_correlations_read_their_rows_once_and_meet_from_tasks_with_other_means(spark):
+    rows = [(float(i) + 1e6 * (i // 50), (i * 37 % 101) / 7.0 if i % 9 else None, 5.0, float("nan") if i == 3 else 1.0 * i) for i in range(200)]
+    table, read = _counted(spark, spark.createDataFrame(rows, "a double, b double, c double, d double").coalesce(1).repartition(7))
+    got = {(r.a, r.b): r.abs_r for r in ft.correlations(table, ["a", "b", "c", "d"]).collect()}
+    assert read.value == len(rows)
+    a, b = np.array([r[:2] for r in rows if r[1] is not None]).T
+    assert abs(got["a", "b"] - abs(np.corrcoef(a, b)[0, 1])) < 1e-9
+    assert got["a", "c"] is None and got["a", "d"] is None
+
+
+def test_neighbour_information_reads_its_rows_once(spark):
+    rows = [("xy"[i % 2], float(i * i % 17)) for i in range(300)]
+    table, read = _counted(spark, spark.createDataFrame(rows, "y string, v double"))
+    assert ft.neighbour_information(table, ["v"], "y").count() == 1
+    assert read.value == len(rows)
