@@ -27,18 +27,30 @@ _CLOSED = "conn_key string, " + _OPEN
 _NAMES = [c.split()[0] for c in _OPEN.split(", ")]
 
 
-def _part(rows: pd.DataFrame) -> dict:
-    """Fold rows of one flow that are sorted by time."""
-    a = rows["from_a"].to_numpy()
-    size = rows["bytes"].to_numpy()
+def _part(rows: dict[str, np.ndarray], at: int, end: int) -> dict:
+    """Fold the rows ``at`` to ``end`` of one flow, which are sorted by time."""
+    a, size = rows["from_a"][at:end], rows["bytes"][at:end]
     return {
-        "start_us": int(rows["ts_us"].iloc[0]), "last_us": int(rows["ts_us"].iloc[-1]),
-        "first_seq": int(rows["seq"].iloc[0]), "ahead": bool(a[0]), "packets": len(rows),
+        "start_us": int(rows["ts_us"][at]), "last_us": int(rows["ts_us"][end - 1]),
+        "first_seq": int(rows["seq"][at]), "ahead": bool(a[0]), "packets": end - at,
         "bytes_a": int(size[a].sum()), "bytes_b": int(size[~a].sum()),
-        "wrong_fragment": int(rows["frag"].sum()), **{f: bool(rows[f].any()) for f in _FLAGS},
+        "wrong_fragment": int(rows["frag"][at:end].sum()), **{f: bool(rows[f][at:end].any()) for f in _FLAGS},
     }
 
 
+_PACKET = ["ts_us", "seq", "from_a", "bytes", "frag", *_FLAGS]
+
+
+def _sorted(batches: list[pd.DataFrame]) -> dict[str, np.ndarray]:
+    """The packets' columns in the order of time and number. Arrays, since most connections have a handful of packets a batch."""
+    columns = {c: np.concatenate([b[c].to_numpy() for b in batches]) for c in _PACKET}
+    for c in ("frag", *_FLAGS):
+        if columns[c].dtype != bool:  # nulls among them count as unset
+            columns[c] = np.array([v is not None and bool(v) for v in columns[c]], bool)
+    order = np.lexsort((columns["seq"], columns["ts_us"]))
+    return {c: values[order] for c, values in columns.items()}
+
+
 def _join(open_flow: dict | None, part: dict) -> dict:
     """Add a part to the open flow. A late packet moves its last time back, as arrival does."""
     if open_flow is None:
@@ -51,9 +63,9 @@ def _join(open_flow: dict | None, part: dict) -> dict:
     return out
 
 
-def _advance(open_flow: dict | None, rows: pd.DataFrame, idle: int, active: int):
+def _advance(open_flow: dict | None, rows: dict[str, np.ndarray], idle: int, active: int):
     """Feed sorted rows; returns (closed flows, open flow). Steps once per flow, not per row."""
-    closed, at, ts = [], 0, rows["ts_us"].to_numpy()
+    closed, at, ts = [], 0, rows["ts_us"]
     breaks = np.flatnonzero(np.diff(ts) >= idle) + 1
     while at < len(ts):
         if open_flow is not None:
@@ -65,7 +77,7 @@ def _advance(open_flow: dict | None, rows: pd.DataFrame, idle: int, active: int)
         end = min(int(later[0]) if len(later) else len(ts),
                   int(np.searchsorted(ts, start + active, side="left")))
         end = max(end, at + 1)
-        open_flow = _join(open_flow, _part(rows.iloc[at:end]))
+        open_flow = _join(open_flow, _part(rows, at, end))
         at = end
     return closed, open_flow
 
@@ -79,8 +91,7 @@ def _stepper(idle: int, active: int):
             closed, open_flow = [open_flow], None
         else:
             # One trigger's packets of one connection; the trigger's file limit bounds it.
-            rows = pd.concat(list(batches)).sort_values(["ts_us", "seq"], kind="stable")
-            closed, open_flow = _advance(open_flow, rows, idle, active)
+            closed, open_flow = _advance(open_flow, _sorted(list(batches)), idle, active)
         if open_flow is not None:
             due = min(open_flow["last_us"] + idle, open_flow["start_us"] + active)
             if due <= watermark_us:
@@ -91,7 +102,8 @@ def _stepper(idle: int, active: int):
         else:
             state.update(tuple(open_flow[c] for c in _NAMES))
             state.setTimeoutTimestamp(max(-(-due // 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([{"conn_key": key[0], **f} for f in closed], columns=["conn_key", *_NAMES])
+        if closed:
+            yield pd.DataFrame({"conn_key": [key[0]] * len(closed), **{c: [f[c] for f in closed] for c in _NAMES}})
 
     return step
 
