@@ -156,3 +156,36 @@ def test_hours_of_numbers_drift_as_in_a_batch(spark, tmp_path):
             assert abs(got[hour, r.feature] - r.psi) < 1e-9
     reports = spark.read.parquet(str(tmp_path / "out" / "reports"))
     assert reports.count() == 7 and reports.where("status = 'ALERT'").count() == spark.read.parquet(str(tmp_path / "out" / "alerts")).count() > 0
+
+
+def test_delivery_is_written_by_many_tasks_and_batches_do_not_follow_the_files(spark):
+    from packetmill.plans import stream_queries as sq
+    rows = spark.range(3000).selectExpr("concat('flows/part_', id % 1500, '.json') as file_name", "id as file_row_number", "'x' as line")
+    assert -(-1500 // sq._files_a_batch(rows, 40)) <= sq._BATCHES
+    assert sq._files_a_batch(rows.limit(30), 40) == 40
+    tasks = {f.rsplit("/", 1)[1][:10] for f in spark.read.text(sq._deliver(rows)).inputFiles()}
+    assert len(tasks) == sq._writers(spark)
+
+
+def test_a_group_that_closes_no_flow_sends_nothing():
+    import pandas as pd
+
+    from packetmill.streaming import assembly
+
+    class State:
+        exists, hasTimedOut, kept = False, False, None
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def update(self, value):
+            self.kept = dict(zip(assembly._NAMES, value))
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+    rows = [(50, 2, False, 7, None, True, False, False, False, False), (10, 1, True, 5, True, False, False, False, None, False)]
+    state, frame = State(), pd.DataFrame(rows, columns=assembly._PACKET)
+    assert list(assembly._stepper(10 ** 7, 10 ** 8)(("k",), iter([frame]), state)) == []
+    assert (state.kept["start_us"], state.kept["last_us"], state.kept["packets"], state.kept["bytes_a"], state.kept["bytes_b"]) == (10, 50, 2, 5, 7)
+    assert state.kept["ahead"] and state.kept["syn"] and state.kept["wrong_fragment"] == 1
