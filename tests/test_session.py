@@ -2,7 +2,7 @@ from pathlib import Path
 
 import pytest
 
-from packetmill.session import materialise, passing_tables
+from packetmill.session import dealt, materialise, passing_tables
 
 
 def place(df):
@@ -30,3 +30,11 @@ def test_tables_of_a_failed_block_stay(spark):
     assert left.exists()
     after = materialise(spark.range(2), "after")  # no block is open any more
     assert place(after).exists()
+
+
+def test_rows_of_one_task_are_dealt_over_all_cores_and_sorted(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = dealt(spark.range(0, 2000, 1, 1).orderBy("id", ascending=False), "id")
+    parts = rows.rdd.map(lambda r: r["id"]).glom().collect()
+    assert len(parts) == cores and all(p and p == sorted(p) for p in parts)
+    assert parts == dealt(spark.range(0, 2000, 1, 5), "id").rdd.map(lambda r: r["id"]).glom().collect()
