@@ -238,6 +238,17 @@ def sharp_sketches(docs: DataFrame, key_col: str, text_col: str, words: int) ->
                           [T.StructField(f"t{k}", T.LongType()) for k in range(SHARP)]).drop(text_col)
 
 
+def only(docs: DataFrame, keys: DataFrame, key_col: str, bits: int = 23) -> DataFrame:
+    """The rows whose key is among ``keys``. Others go by a bitmap of hashes of fixed size before anything is shuffled, so texts stay in place."""
+    place = F.pmod(F.xxhash64(key_col), F.lit(1 << bits)) + 1
+    at = F.bitmap_bit_position(place)
+    maps = keys.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(at).alias("__map"))
+    byte = F.conv(F.hex(F.substring("__map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    held = F.pmod(byte / F.pow(F.lit(2.0), at % 8), F.lit(2.0)) >= 1
+    maybe = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__bucket")).filter(held)
+    return maybe.drop("__bucket", "__map").join(keys, key_col, "left_semi")
+
+
 def really_similar(edges: DataFrame, docs: DataFrame, key_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """The edges ``(a, b)`` between keys whose shingle sets have that Jaccard similarity; sets are made for these rows only."""
 
@@ -260,7 +271,7 @@ def really_similar(edges: DataFrame, docs: DataFrame, key_col: str, text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in fine], pa.int64()) for c in (a, b)], names=["a", "b"])
 
     ends = edges.select(F.col("a").alias(key_col)).union(edges.select("b")).distinct()
-    sets = append_columns(docs.select(key_col, text_col).join(ends, key_col, "left_semi"), make,
+    sets = append_columns(only(docs.select(key_col, text_col), ends, key_col), make,
                           [T.StructField("__set", T.BinaryType())]).drop(text_col)
     sets = materialise(sets, "shingle-sets")
     left, right = (sets.select(F.col(key_col).alias(c), F.col("__set").alias(f"__{c}")) for c in "ab")
@@ -351,6 +362,8 @@ def _met(group: DataFrame, docs: DataFrame, key_col: str, text_col: str, words:
     big = materialise(big.filter((F.col("p.count") > MANY) | F.col("crowd")).select(
         "slot", F.when(F.col("p.count") > MANY, F.col("p.oroot")).alias("big"),
         (F.col("all") - F.col("p.count")).alias("rest"), "crowd"), "sketch-big")
+    # A row a segment value, of 12 * 2**16 there are. Broadcast, so that the lookups are filtered first and shuffled once.
+    big = F.broadcast(big)
     # Of two values that differ in one bit the one without it asks: each direction finds all pairs, so one is enough.
     asked = _slots(group, "node", "root", *carried).withColumn("mask", F.explode(_masks(16, 1))).filter(
         F.col("slot").bitwiseAND(F.col("mask")) == 0).select(
@@ -371,11 +384,15 @@ def _met(group: DataFrame, docs: DataFrame, key_col: str, text_col: str, words:
         return pairs(asks.filter(foreign | (F.col("rest") > 0)), held.filter(~of_big), columns).unionByName(
             pairs(asks.filter(F.col("big").isNotNull() & foreign), held.filter(of_big), columns))
 
-    asks = materialise(asked.filter(crowd).drop(*carried), "crowd-asks")
+    # The sharp words join one row a text, with all its lookups; values around that no text has answer nothing.
     held = materialise(index.filter(crowd).drop(*[f"o{w}" for w in carried]), "crowd-held")
+    asks = asked.filter(crowd & (foreign | (F.col("rest") > 0))).join(held.select("slot").distinct(), "slot", "left_semi")
+    asks = materialise(asks.groupBy("node", "root").agg(F.collect_list(F.struct("slot", "big", "rest")).alias("asks")), "crowd-asks")
     there = asks.select(F.col("node").alias(key_col)).union(held.select("other")).distinct()
-    marks = materialise(sharp_sketches(docs.select(key_col, text_col).join(there, key_col, "left_semi"), key_col, text_col, words),
+    marks = materialise(sharp_sketches(only(docs.select(key_col, text_col), there, key_col), key_col, text_col, words),
                         "sharp-sketches").select(F.col(key_col).alias("node"), *sharp)
-    crowded = both(asks.join(marks, "node"), held.join(marks.select(
+    asks = asks.join(marks, "node").select("node", "root", *sharp, F.explode("asks").alias("ask")).select(
+        "node", "root", *sharp, "ask.*")
+    crowded = both(asks, held.join(marks.select(
         F.col("node").alias("other"), *[F.col(t).alias(f"o{t}") for t in sharp]), "other"), sharp)
     return both(asked.filter(~crowd), index.filter(~crowd), carried).unionByName(crowded).distinct()
