@@ -175,3 +175,28 @@ def test_sharp_sketch_follows_the_similarity():
             simhash.sharp_sketch(text, 5), simhash.sharp_sketch(other, 5)))
         off.append((apart - bits * share) / math.sqrt(bits * share * (1 - share)))
     assert abs(sum(off) / len(off)) < 0.3 and sum(o > 3 for o in off) <= 3
+
+
+def test_only_finds_every_key_whatever_the_bitmap(spark):
+    docs = spark.range(-500, 500).selectExpr("id * 7919 as k", "'x' as text")
+    keys = docs.filter("k % 3 = 0").select("k")
+    for bits in (3, 23):
+        got = [r.k for r in simhash.only(docs, keys, "k", bits).collect()]
+        assert sorted(got) == sorted(r.k for r in keys.collect())
+    assert simhash.only(docs, keys.limit(0), "k").count() == 0
+
+
+def test_crowded_lookups_are_one_row_a_text(frame, monkeypatch):
+    """Sharp sketches join a row a text, however many crowded values it asks for."""
+    real, seen = simhash.materialise, {}
+
+    def kept(df, name, *rest):
+        seen[name] = real(df, name, *rest)
+        return seen[name]
+
+    monkeypatch.setattr(simhash, "materialise", kept)
+    rng = random.Random(3)
+    base = " ".join(f"b{rng.randrange(10**6)}" for _ in range(300))
+    simhash.similar_groups(frame(list(enumerate(changed(rng, base, 9) for _ in range(60)))), "doc_id")
+    asks = seen["crowd-asks"]
+    assert 0 < asks.count() == asks.select("node").distinct().count()
