@@ -174,16 +174,20 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def _block_words(table: pa.Table) -> tuple[list[np.ndarray], list[bytes], np.ndarray]:
-    """The words of each row as numbers in order of appearance; the block's distinct words, sorted; their numbers."""
+def _in_order(table: pa.Table) -> pa.Table:
+    """The rows of a block by id and text: however they arrive, their words get the same numbers."""
+    return table.sort_by([("id", "ascending"), ("text", "ascending")])
+
+
+def _block_words(table: pa.Table) -> tuple[list[np.ndarray], list[bytes]]:
+    """The words of each row as numbers in order of appearance; the block's distinct words by number."""
     numbers: defaultdict[bytes, int] = defaultdict()
     numbers.default_factory = numbers.__len__
     each = []
     for text in table.column("text").to_pylist():
         words = words_of(text or "")
         each.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-    words = sorted(numbers)
-    return each, words, np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+    return each, list(numbers)
 
 
 def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2,
@@ -208,9 +212,10 @@ def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", te
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long"))
 
     def distinct(group: tuple, table: pa.Table) -> pa.Table:
-        each, words, numbers = _block_words(table)
+        table = _in_order(table)
+        each, words = _block_words(table)
         train = [ids for ids, t in zip(each, table.column("train").to_pylist()) if t]
-        uses = np.bincount(np.concatenate([np.empty(0, np.int32), *train]), minlength=len(words))[numbers]
+        uses = np.bincount(np.concatenate([np.empty(0, np.int32), *train]), minlength=len(words))
         return pa.table({"block": pa.array([group[0].as_py()] * len(words), pa.int64()),
                          "number": pa.array(range(len(words)), pa.int32()), "word": pa.array(words, pa.binary()),
                          "n": pa.array(uses, pa.int64())})
@@ -241,8 +246,9 @@ def score(docs: DataFrame, held_out, model_path: str, id_col: str = "doc_id", te
     end_logp = float(logp[-1])
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
-        each, _, numbers = _block_words(table)
-        order = numbers[found.column("number").to_numpy()]
+        table = _in_order(table)
+        each, _ = _block_words(table)
+        order = found.column("number").to_numpy()
         c, lp = np.empty(len(order), np.int64), np.empty(len(order))
         c[order], lp[order] = found.column("c").to_numpy(), found.column("logp").to_numpy()
         base = np.log10((c + 0.5) / (tokens + 0.5 * (kinds + 1)))

@@ -98,3 +98,14 @@ def test_arcs_held_or_looked_up_anew_give_the_same(vocabulary, monkeypatch):
     monkeypatch.setattr(lattice, "_HELD", 0)
     anew = lattice.word_scores(vocabulary, logp, words), lattice.expected_counts(vocabulary, logp, words, np.arange(1.0, 5.0))
     assert all((a == b).all() for a, b in zip(held, anew))
+
+
+def test_words_of_a_block_are_numbered_alike_in_any_order_of_rows():
+    rows = [(2, "b a b", True), (1, None, False), (None, "c c", True), (2, "a d", True), (1, "e b", False)]
+    found = []
+    for at in (rows, rows[::-1]):
+        table = lattice._in_order(lattice.pa.table({n: list(c) for n, c in zip(("id", "text", "train"), zip(*at))}))
+        each, words = lattice._block_words(table)
+        assert [[words[i] for i in ids] for ids in each] == [lattice.words_of(t or "") for t in table.column("text").to_pylist()]
+        found.append(words)
+    assert found[0] == found[1] and sorted(found[0]) == [b"a", b"b", b"c", b"d", b"e"]
