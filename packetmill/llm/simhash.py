@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,14 +239,17 @@ def sharp_sketches(docs: DataFrame, key_col: str, text_col: str, words: int) ->
 
 
 def only(docs: DataFrame, keys: DataFrame, key_col: str, bits: int = 23) -> DataFrame:
-    """The rows whose key is among ``keys``. Others go by a bitmap of hashes of fixed size before anything is shuffled, so texts stay in place."""
+    """The rows whose key is among ``keys``. Others go by a bitmap of hashes of fixed size before anything is shuffled, so texts stay in place.
+
+    An inner join on distinct keys decides: Spark moves a semi-join below the bitmap's, and all texts are shuffled to it.
+    """
     place = F.pmod(F.xxhash64(key_col), F.lit(1 << bits)) + 1
     at = F.bitmap_bit_position(place)
     maps = keys.groupBy(F.bitmap_bucket_number(place).alias("__bucket")).agg(F.bitmap_construct_agg(at).alias("__map"))
     byte = F.conv(F.hex(F.substring("__map", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     held = F.pmod(byte / F.pow(F.lit(2.0), at % 8), F.lit(2.0)) >= 1
     maybe = docs.join(F.broadcast(maps), F.bitmap_bucket_number(place) == F.col("__bucket")).filter(held)
-    return maybe.drop("__bucket", "__map").join(keys, key_col, "left_semi")
+    return maybe.drop("__bucket", "__map").join(keys.select(key_col).distinct(), key_col)
 
 
 def really_similar(edges: DataFrame, docs: DataFrame, key_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
@@ -367,32 +370,47 @@ def _met(group: DataFrame, docs: DataFrame, key_col: str, text_col: str, words:
     # Of two values that differ in one bit the one without it asks: each direction finds all pairs, so one is enough.
     asked = _slots(group, "node", "root", *carried).withColumn("mask", F.explode(_masks(16, 1))).filter(
         F.col("slot").bitwiseAND(F.col("mask")) == 0).select(
-        F.col("slot").bitwiseXOR(F.col("mask")).alias("slot"), "node", "root", *carried).join(big, "slot", "left")
+        F.col("slot").bitwiseXOR(F.col("mask")).alias("slot"), (F.col("mask") == 0).alias("same"), "node", "root", *carried).join(
+        big, "slot", "left")
     index = index.join(big.drop("rest"), "slot", "left")
     of_big = F.coalesce(F.col("oroot") == F.col("big"), F.lit(False))
     foreign = F.coalesce(F.col("root") != F.col("big"), F.lit(True))
     crowd = F.coalesce(F.col("crowd"), F.lit(False))
 
-    def pairs(asks: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
+    def pairs(asks: DataFrame, held: DataFrame, columns: list[str], *more: Column) -> DataFrame:
         apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"o{w}"))) for w in columns), F.lit(0))
         fits = (F.col("node") != F.col("other")) & (F.col("root") != F.col("oroot")) & (
             apart <= most_bits(similarity, BITS * len(columns)))
-        return asks.drop("big", "rest", "crowd").join(held.drop("big", "crowd").hint("shuffle_hash"), "slot").filter(fits).select(
+        for further in more:
+            fits = fits & further
+        return asks.drop("big", "rest", "crowd", "same").join(held.drop("big", "crowd").hint("shuffle_hash"), "slot").filter(fits).select(
             F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other"))
 
-    def both(asks: DataFrame, held: DataFrame, columns: list[str]) -> DataFrame:
-        return pairs(asks.filter(foreign | (F.col("rest") > 0)), held.filter(~of_big), columns).unionByName(
-            pairs(asks.filter(F.col("big").isNotNull() & foreign), held.filter(of_big), columns))
+    def both(asks: DataFrame, held: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+        return pairs(asks.filter(foreign | (F.col("rest") > 0)), held.filter(~of_big), columns, *more).unionByName(
+            pairs(asks.filter(F.col("big").isNotNull() & foreign), held.filter(of_big), columns, *more))
 
     # The sharp words join one row a text, with all its lookups; values around that no text has answer nothing.
     held = materialise(index.filter(crowd).drop(*[f"o{w}" for w in carried]), "crowd-held")
     asks = asked.filter(crowd & (foreign | (F.col("rest") > 0))).join(held.select("slot").distinct(), "slot", "left_semi")
-    asks = materialise(asks.groupBy("node", "root").agg(F.collect_list(F.struct("slot", "big", "rest")).alias("asks")), "crowd-asks")
+    asks = materialise(asks.groupBy("node", "root").agg(F.collect_list(F.struct("slot", "big", "rest", "same")).alias("asks")), "crowd-asks")
     there = asks.select(F.col("node").alias(key_col)).union(held.select("other")).distinct()
     marks = materialise(sharp_sketches(only(docs.select(key_col, text_col), there, key_col), key_col, text_col, words),
                         "sharp-sketches").select(F.col(key_col).alias("node"), *sharp)
-    asks = asks.join(marks, "node").select("node", "root", *sharp, F.explode("asks").alias("ask")).select(
-        "node", "root", *sharp, "ask.*")
-    crowded = both(asks, held.join(marks.select(
-        F.col("node").alias("other"), *[F.col(t).alias(f"o{t}") for t in sharp]), "other"), sharp)
+    asks = asks.join(marks, "node").select(
+        "node", "root", *sharp, F.col("asks.slot").alias("slots"),
+        F.filter("asks", lambda ask: ~ask["same"])["slot"].alias("off"), F.explode("asks").alias("ask")).select(
+        "node", "root", *sharp, "slots", "off", "ask.*")
+    held = held.groupBy("other", "oroot").agg(F.collect_list(F.struct("slot", "big")).alias("held")).join(
+        marks.select(F.col("node").alias("other"), *[F.col(t).alias(f"o{t}") for t in sharp]), "other")
+    held = held.select("other", "oroot", *[f"o{t}" for t in sharp], F.col("held.slot").alias("oslots"), F.explode("held").alias("at")).select(
+        "other", "oroot", *[f"o{t}" for t in sharp], "oslots", "at.*")
+    # A pair that meets at several values leaves at the first only, and where both texts have the same value the smaller node asks.
+    first = F.array_min(F.array_intersect(F.when(F.col("node") < F.col("other"), F.col("slots")).otherwise(F.col("off")), "oslots"))
+    crowded = _crowd_pairs(both, asks, held, sharp, F.col("slot") == first)
     return both(asked.filter(~crowd), index.filter(~crowd), carried).unionByName(crowded).distinct()
+
+
+def _crowd_pairs(both, asks: DataFrame, held: DataFrame, sharp: list[str], leaves: Column) -> DataFrame:
+    """The pairs at crowded values, each at most twice: once for each of its texts that asks."""
+    return both(asks, held, sharp, leaves)

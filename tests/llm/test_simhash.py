@@ -200,3 +200,38 @@ def test_crowded_lookups_are_one_row_a_text(frame, monkeypatch):
     simhash.similar_groups(frame(list(enumerate(changed(rng, base, 9) for _ in range(60)))), "doc_id")
     asks = seen["crowd-asks"]
     assert 0 < asks.count() == asks.select("node").distinct().count()
+
+
+def test_texts_stay_in_place_where_keys_are_not_broadcast(spark):
+    """Nothing is joined to the texts before the bitmap has dropped those that are not asked for."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(2000).selectExpr("id as k", "repeat('x', 50) as text")
+        plan = simhash.only(docs, docs.filter("k % 40 = 0").select("k"), "k")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and "__bucket" in joins[1] and "__bucket" not in joins[0]
+
+
+def test_pairs_at_crowded_values_leave_once_a_text(frame, monkeypatch):
+    made, real, pairs = [], simhash._met, simhash._crowd_pairs
+
+    def kept(*how):
+        made.append(pairs(*how))
+        return made[-1]
+
+    def met(*how):
+        out = real(*how)
+        rows = made[-1].groupBy("node", "other").count().collect()
+        assert rows and max(r["count"] for r in rows) <= 2
+        return out
+
+    monkeypatch.setattr(simhash, "_crowd_pairs", kept)
+    monkeypatch.setattr(simhash, "_met", met)
+    monkeypatch.setattr(simhash, "DENSE", 2)
+    rng = random.Random(3)
+    base = " ".join(f"b{rng.randrange(10**6)}" for _ in range(300))
+    simhash.similar_groups(frame(list(enumerate(changed(rng, base, 4) for _ in range(40)))), "doc_id").collect()
+    assert made
