@@ -3,7 +3,7 @@
 ``stream_flows`` keeps one open flow per connection (a few numbers) and closes it by the
 same rule as the batch operator: a silence of ``idle`` or an age of ``active``, noticed
 either from the connection's next packet or from the watermark. ``stream_windows`` keeps
-the flows of one destination and time bucket until the watermark passes the bucket, with
+the flows of a time bucket, by shares of the destinations, until the watermark passes the bucket, with
 the same halo as the batch operator, so a flooded destination is spread over buckets.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -122,68 +123,102 @@ def stream_flows(packets: DataFrame, delay: str = "10 seconds", idle: int = IDLE
 
 _WIN_IN = ["conn_key", "start_us", "emit_us", "first_seq", "dst_ip", "service", "src_ip", "src_port",
            "syn_error", "rst", "is_halo"]
-_WIN_TYPES = ["string", "bigint", "bigint", "bigint", "string", "string", "string", "int",
-              "boolean", "boolean", "boolean"]
-_WIN_STATE = ", ".join(f"{c} array<{t}>" for c, t in zip(_WIN_IN, _WIN_TYPES))
+_WIN_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(),
+              pa.bool_(), pa.bool_(), pa.bool_()]
+_WIN_SCHEMA = pa.schema(list(zip(_WIN_IN, _WIN_TYPES)))
+#: Arrow streams, one a batch that had rows for the group.
+_WIN_STATE = "chunks array<binary>"
 _COUNTS = ["n", "sn", "syn", "ssyn", "rst", "srst", "hn", "hsn", "hport", "hother", "hsyn", "hssyn", "hrst", "hsrst"]
 _WIN_OUT = "conn_key string, start_us bigint, " + ", ".join(f"{c} bigint" for c in _COUNTS)
+#: Shares of the destinations. A bucket is held in as many groups at most: a group costs milliseconds a batch, however few its rows.
+SHARES = 8
 
 
-def _trailing(groups: np.ndarray, first: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Sum of ``values`` over the same group among rows first..self, by prefix sums over the rows in group order."""
-    n = len(groups)
-    order = np.argsort(groups, kind="stable")
-    run = np.concatenate([[0], np.cumsum(values[order])])
-    place = np.empty(n, dtype=np.int64)
-    place[order] = np.arange(n)
-    begin = np.searchsorted(groups[order].astype(np.int64) * n + order, groups.astype(np.int64) * n + first)
-    return run[place + 1] - run[begin]
+class _Trailing:
+    """Sums over the same group among rows first..self, by prefix sums over the rows in group order."""
 
+    def __init__(self, groups: np.ndarray):
+        n = len(groups)
+        self.order, self.place, self.keys = np.argsort(groups, kind="stable"), np.empty(n, np.int64), groups.astype(np.int64) * n
+        self.place[self.order] = np.arange(n)
+        self.sorted = self.keys[self.order] + self.order
 
-def _bucket_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["emit_us", "first_seq"], kind="stable").reset_index(drop=True)
-    emit = rows["emit_us"].to_numpy()
+    def begins(self, first: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.sorted, self.keys + first)
+
+    def sums(self, begins: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        if values is None:
+            return self.place + 1 - begins
+        run = np.concatenate([[0], np.cumsum(values[self.order])])
+        return run[self.place + 1] - run[begins]
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers from 1 for the values of a column, 0 for null."""
+    indices = column.combine_chunks().dictionary_encode().indices
+    return indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+
+
+def _bucket_counts(rows: pa.Table) -> pd.DataFrame:
+    """Counts of the flows of one bucket, whatever their destinations."""
+    columns = {c: rows[c].to_numpy() for c in ("emit_us", "first_seq", "syn_error", "rst", "is_halo")}
+    dst = _codes(rows["dst_ip"])
+    order = np.lexsort((columns["first_seq"], columns["emit_us"], dst))
+    columns, dst = {c: v[order] for c, v in columns.items()}, dst[order]
+    # Times of one destination lie apart from those of the next by more than a window.
+    emit = columns["emit_us"] - columns["emit_us"].min()
+    emit = emit + dst * (emit.max() + CONN_WINDOW_US + 1)
     first = np.searchsorted(emit, emit - CONN_WINDOW_US, side="left")
-    host = np.maximum(first, np.arange(len(rows)) - HOST_WINDOW_ROWS + 1)
-    one = np.ones(len(rows), dtype=np.int64)
-    every = np.zeros(len(rows), dtype=np.int64)
-    service = rows["service"].factorize()[0]
-    port = rows["src_port"].factorize()[0]
-    source = (rows["service"] + "|" + rows["src_ip"]).factorize()[0]
-    syn, rst = rows["syn_error"].to_numpy().astype(np.int64), rows["rst"].to_numpy().astype(np.int64)
-    found = {"conn_key": rows["conn_key"], "start_us": rows["start_us"]}
+    host = np.maximum(first, np.arange(len(emit)) - HOST_WINDOW_ROWS + 1)
+
+    def within(outer: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        return outer * (int(inner.max()) + 1) + inner
+
+    service, port, source = (_codes(rows[c])[order] for c in ("service", "src_port", "src_ip"))
+    by = {"": _Trailing(dst), "s": _Trailing(within(dst, service)), "port": _Trailing(within(dst, port)),
+          "source": _Trailing(within(dst, np.where((service == 0) | (source == 0), 0, within(service, source))))}
+    syn, rst = columns["syn_error"].astype(np.int64), columns["rst"].astype(np.int64)
+    taken = pa.array(order)
+    found = {c: rows[c].take(taken).to_numpy() for c in ("conn_key", "start_us")}
     for prefix, start in (("", first), ("h", host)):
-        found[prefix + "n"] = _trailing(every, start, one)
-        found[prefix + "sn"] = _trailing(service, start, one)
-        found[prefix + "syn"] = _trailing(every, start, syn)
-        found[prefix + "ssyn"] = _trailing(service, start, syn)
-        found[prefix + "rst"] = _trailing(every, start, rst)
-        found[prefix + "srst"] = _trailing(service, start, rst)
-    found["hport"] = _trailing(port, host, one)
-    found["hother"] = found["hsn"] - _trailing(source, host, one)
-    own = ~rows["is_halo"].to_numpy()
-    return pd.DataFrame(found)[own][["conn_key", "start_us", *_COUNTS]]
+        for kind in ("", "s"):
+            begins = by[kind].begins(start)
+            for name, values in ((f"{kind}n", None), (f"{kind}syn", syn), (f"{kind}rst", rst)):
+                found[prefix + name] = by[kind].sums(begins, values)
+    found["hport"] = by["port"].sums(by["port"].begins(host))
+    found["hother"] = found["hsn"] - by["source"].sums(by["source"].begins(host))
+    own = ~columns["is_halo"].astype(bool)
+    return pd.DataFrame({c: found[c][own] for c in ("conn_key", "start_us", *_COUNTS)})
+
+
+def _chunk(rows: pd.DataFrame) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_pandas(rows[_WIN_IN], _WIN_SCHEMA, preserve_index=False)
+    with pa.ipc.new_stream(out, _WIN_SCHEMA) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
 
 def _window_stepper(bucket_us: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(dict(zip(_WIN_IN, state.get))) if state.exists else pd.DataFrame(columns=_WIN_IN)
+        held = list(state.get[0]) if state.exists else []
         if state.hasTimedOut:
             state.remove()
-            held["is_halo"] = held["is_halo"].astype(bool)
-            yield _bucket_counts(held)
+            yield _bucket_counts(pa.concat_tables([pa.ipc.open_stream(bytes(chunk)).read_all() for chunk in held]))
             return
-        new = pd.concat([b[_WIN_IN] for b in batches])
-        held = pd.concat([held, new]) if len(held) else new
-        state.update(tuple(held[c].tolist() for c in _WIN_IN))
+        new = [b for b in batches if len(b)]
+        if new:  # what is held stays as it is
+            held.append(_chunk(pd.concat(new) if len(new) > 1 else new[0]))
+        state.update((held,))
         end_ms = (int(key[1]) + 1) * bucket_us // 1000
         state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
 
     return step
 
 
-def stream_windows(closed: DataFrame, delay: str = "30 seconds", bucket_us: int = conn.BUCKET_US) -> DataFrame:
+def stream_windows(closed: DataFrame, delay: str = "30 seconds", bucket_us: int = conn.BUCKET_US, shares: int = SHARES) -> DataFrame:
     """Frame counts per flow of a stream of described flows (see ``_COUNTS``)."""
     rows = conn.with_halo(closed, bucket_us).withColumn("event_time", F.timestamp_micros("emit_us"))
-    return rows.withWatermark("event_time", delay).groupBy("dst_ip", "bucket").applyInPandasWithState(
+    rows = rows.withColumn("share", F.pmod(F.xxhash64("dst_ip"), F.lit(shares)))
+    return rows.withWatermark("event_time", delay).groupBy("share", "bucket").applyInPandasWithState(
         _window_stepper(bucket_us), _WIN_OUT, _WIN_STATE, "append", GroupStateTimeout.EventTimeTimeout)

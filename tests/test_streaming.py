@@ -189,3 +189,33 @@ def test_a_group_that_closes_no_flow_sends_nothing():
     assert list(assembly._stepper(10 ** 7, 10 ** 8)(("k",), iter([frame]), state)) == []
     assert (state.kept["start_us"], state.kept["last_us"], state.kept["packets"], state.kept["bytes_a"], state.kept["bytes_b"]) == (10, 50, 2, 5, 7)
     assert state.kept["ahead"] and state.kept["syn"] and state.kept["wrong_fragment"] == 1
+
+
+def test_windows_are_held_in_few_groups_whatever_the_number_of_destinations(spark, tmp_path):
+    """A group costs milliseconds a batch, so destinations of one bucket share groups; counts are those of the batch."""
+    rows = [packet(i, i % 9 * 0.5, (f"10.0.{i % 7}.{i % 200}", 1000 + i % 5)) for i in range(600)]
+    done = flows.describe(flows.assemble(frame(spark, rows))).withColumn(
+        "dst_ip", F.concat(F.lit("10.1.0."), (F.col("first_seq") % 150).cast("string"))).persist()
+    assert done.select("dst_ip").distinct().count() > 100
+    far = done.agg(F.max("emit_us")).first()[0] + 100_000_000
+    parts = [done.where("first_seq % 2 = 0"), done.where("first_seq % 2 = 1"), done.limit(1).withColumns({"emit_us": F.lit(far), "conn_key": F.lit("z")})]
+    counts = assembly.stream_windows(feed(spark, str(tmp_path), parts, done.schema), "100 seconds", shares=4)
+    out = str(tmp_path / "out")
+    query = jobs.start(jobs.sink(counts, out, out + "-cp"))
+    query.awaitTermination()
+    held = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+    buckets = conn.with_halo(done).select("bucket").distinct().count()
+    assert held <= 4 * (buckets + 1)
+
+
+def test_counts_of_a_bucket_keep_destinations_apart():
+    import pandas as pd
+    import pyarrow as pa
+    names = ("conn_key", "start_us", "emit_us", "first_seq", "dst_ip", "service", "src_ip", "src_port", "syn_error", "rst", "is_halo")
+    rows = [("h", 0, 100, 0, "a", "x", "s", 1, True, False, True), ("p", 0, 200, 1, "a", "x", "s", 1, False, True, False),
+            ("q", 0, 200, 2, "b", "x", "s", 1, True, False, False), ("r", 0, 300, 3, "a", None, "t", 2, False, False, False),
+            ("s", 0, 2_000_250, 4, "a", "x", "t", 1, False, False, False), ("t", 0, 300, 5, None, "x", "s", 1, False, False, False)]
+    chunks = [assembly._chunk(pd.DataFrame(part, columns=names)) for part in (rows[3:], rows[:3])]
+    got = assembly._bucket_counts(pa.concat_tables([pa.ipc.open_stream(c).read_all() for c in chunks]))
+    counts = {r.conn_key: (r.n, r.sn, r.syn, r.rst, r.hport, r.hother) for r in got.itertuples()}
+    assert counts == {"p": (2, 2, 1, 1, 2, 0), "q": (1, 1, 1, 0, 1, 0), "r": (3, 1, 1, 1, 1, 0), "s": (2, 1, 0, 0, 1, 0), "t": (1, 1, 0, 0, 1, 0)}
