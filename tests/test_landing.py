@@ -154,3 +154,22 @@ def test_records_read_their_lines_once(spark):
     got = sorted((r.file_name, r.file_row_number, r.line) for r in landing.records_of(lines).collect())
     assert [(f, n, t.strip()) for f, n, t in got] == [("a", 1, "{\"k\": 1,\n \"l\": 2}"), ("a", 2, "3"), ("b", 1, "{}"), ("b", 2, "7")]
     assert read.value == len(rows)
+
+
+def test_small_files_are_opened_once_and_many_by_a_task(spark, tmp_path):
+    """Numbering reads the lines twice; the files must not be read twice, nor four by four."""
+    from packetmill import session
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(120):
+        (folder / f"f{i}.json").write_text('{"n":1}\n{"n":2}\n')
+    key, before = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    numbered = landing.read_lines(spark, str(folder))
+    assert spark.conf.get(key) == before
+    kept = numbered.inputFiles()
+    assert kept and all("landing-scan-" in f for f in kept) and len(kept) <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted({r.file_row_number for r in numbered.collect()}) == [1, 2] and numbered.count() == 240
+    stored = landing.placed_lines(spark.read.text(str(folder)).select(*landing._where(), "value"))
+    with session.passing_tables(spark):
+        again = landing.number_lines(stored)
+        assert not session._passing[-1] and again.count() == 240  # lines that are stored are not stored again
